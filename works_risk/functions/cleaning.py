@@ -68,11 +68,11 @@ def is_unparseable(c: Column) -> Column:
 
 
 def money(c: Column, mode: str = "decimal") -> Column:
-    """Rupee text to DECIMAL(18,2); blank or unreadable text gives 0.
+    """Rupee text to DECIMAL(18,2), sign kept; blank or unreadable text gives 0.
 
-    ``mode="digits"`` keeps digits only and so drops the decimal point, for comparing with older outputs.
+    ``mode="digits"`` keeps digits only and so drops the sign and the decimal point, for comparing with older outputs.
     """
-    kept = {"decimal": r"[^0-9.]", "digits": r"[^0-9]"}[mode]
+    kept = {"decimal": r"[^0-9.-]", "digits": r"[^0-9]"}[mode]
     number = F.nullif(F.regexp_replace(c, kept, ""), F.lit("")).try_cast("decimal(18,2)")
     return F.coalesce(number, F.lit(0).cast("decimal(18,2)"))
 

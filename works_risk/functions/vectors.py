@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.params import EMBED_BATCH, EMBED_DIM
@@ -18,10 +18,14 @@ def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def unit(vec: Column) -> Column:
-    """The vector scaled to length 1, as DOUBLE; a zero vector stays zero."""
-    size = norm(vec)
-    return F.transform(vec, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+def with_unit(df: DataFrame, source: str, name: str = "vec") -> DataFrame:
+    """Add the vector scaled to length 1, as DOUBLE; a zero vector stays zero.
+
+    The length is a column of its own, so that it is taken once per row and not once per element.
+    """
+    sized = df.withColumn("_length", norm(F.col(source)))
+    scaled = F.transform(source, lambda x: F.when(F.col("_length") > 0, x.cast("double") / F.col("_length")).otherwise(0.0))
+    return sized.withColumn(name, scaled).drop("_length")
 
 
 def dot(a: Column, b: Column) -> Column:

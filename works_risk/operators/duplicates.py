@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.cleaning import has_long_text, has_text
-from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams, norm, unit
+from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams, norm, with_unit
 from works_risk.operators.blocking import block_key, in_shared_blocks, similar_items
 from works_risk.operators.ordering import top_rows
 from works_risk.params import MIN_TEXT_CHARS, Params
@@ -49,7 +49,7 @@ def embedded(points: DataFrame, embed_many: EmbedMany = hashed_trigrams) -> Data
     Settled, because the embedder is the costly step and several branches read its result.
     """
     raw = points.withColumn("raw", embedding(F.col("text"), embed_many)).drop("text")
-    return settle(raw.filter(norm(F.col("raw")) > 0).withColumn("vec", unit(F.col("raw"))).drop("raw"))
+    return settle(with_unit(raw.filter(norm(F.col("raw")) > 0), "raw").drop("raw"))
 
 
 def edges(points: DataFrame, threshold: float) -> DataFrame:

@@ -307,22 +307,18 @@ def embed(spark, sf):
     )
 
 
-def texts(spark, sf):
-    return D.claimants(spark, sf).select("work_id", "mp_no", "fy", "work_category", "recommended_amount", "work_desc")
-
-
 def pair_bands(spark, sf):
-    bands = training.banded_pairs(training.text_points(texts(spark, sf), D.PARAMS))
+    bands = training.banded_pairs(training.text_points(D.supplies(spark, sf), D.PARAMS))
     return rounded(bands, 6, "ratio").select("block", "work_a", "work_b", "ratio", "kind", "pair_count")
 
 
 def pair_set(spark, sf):
-    built = training.pair_set(texts(spark, sf), D.PARAMS)
+    built = training.pair_set(D.supplies(spark, sf), D.PARAMS)
     return built.select("split", "kind", "work_a", "work_b", F.md5("anchor_text").alias("anchor"), F.md5("other_text").alias("other"), "label")
 
 
 def pair_counts(spark, sf):
-    return training.counts_by(training.pair_set(texts(spark, sf), D.PARAMS))
+    return training.counts_by(training.pair_set(D.supplies(spark, sf), D.PARAMS))
 
 
 def token_overlap(spark, sf):

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.functions.vectors import unit
+from works_risk.functions.vectors import with_unit
 from works_risk.operators.blocking import block_key, in_shared_blocks
 from works_risk.operators.duplicates import duplicate_signals
 from works_risk.params import Params
@@ -126,6 +126,18 @@ def claimants(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFram
     return with_text(spark, sf, in_shared_blocks(keyed).drop("block", "block_rows"))
 
 
+def supplies(spark: SparkSession, sf: str) -> DataFrame:
+    """Short descriptions in the wording of a works register, out of each order's first and last part by name."""
+    item = F.format_string("%s (%s, %s)", "p_name", "p_brand", "p_type")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), item.alias("item"))
+    named = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").cast("string").alias("work_no")).agg(
+        F.min("item").alias("first_item"), F.max("item").alias("last_item")
+    )
+    text = F.format_string("Supply of %s and %s at %s, %s", "first_item", "last_item", "constituency", "state")
+    return order_works(spark, sf).join(named, "work_no").withColumn("work_desc", text).drop("first_item", "last_item")
+
+
 def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
     return duplicate_signals(claimants(spark, sf, params), params)
 
@@ -140,7 +152,8 @@ def vectors(spark: SparkSession, sf: str, dims: int | None = None) -> DataFrame:
     """``block, item, vec`` of the vector table, on the first ``dims`` dimensions or all."""
     raw = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
     rows = table(spark, sf, "embeddings")
-    return rows.select(F.col("label").alias("block"), F.col("vec_id").alias("item"), unit(raw).alias("vec"))
+    named = rows.select(F.col("label").alias("block"), F.col("vec_id").alias("item"), raw.alias("raw"))
+    return with_unit(named, "raw").drop("raw")
 
 
 def raw_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

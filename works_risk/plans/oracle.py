@@ -405,6 +405,13 @@ ORDER BY risk_score DESC, work_id LIMIT 50 OFFSET 50""",
     "dup_signals": query(
         """SELECT work_id, COALESCE(dup_partner_count, 0) AS dup_partner_count, round(COALESCE(dup_partner_sim_max, 0), 4) AS dup_partner_sim_max,
   COALESCE(dup_partner_cross_fy, 0) AS dup_partner_cross_fy, COALESCE(dup_partner_cross_fy, 0) > 0 AS has_duplicate_lead
+FROM ord LEFT JOIN sig USING (work_id)""",
+        "ord",
+        "sig",
+    ),
+    "sweep_signals": query(
+        """SELECT work_id, COALESCE(dup_partner_count, 0) AS dup_partner_count, round(COALESCE(dup_partner_sim_max, 0), 4) AS dup_partner_sim_max,
+  COALESCE(dup_partner_cross_fy, 0) AS dup_partner_cross_fy, COALESCE(dup_partner_cross_fy, 0) > 0 AS has_duplicate_lead
 FROM ord LEFT JOIN sig USING (work_id)""",
         "ord",
         "sig",
@@ -426,8 +433,8 @@ FROM (SELECT COUNT(*) FILTER (WHERE s_all >= 0.2) AS tuned_pairs, COUNT(*) FILTE
 SELECT label, id, round(s, 4) AS score, place, hit_label FROM (
   SELECT c.label, vec_id AS id, list_cosine_similarity(c.v, vec.v) AS s, vec.label AS hit_label,
     ROW_NUMBER() OVER (PARTITION BY c.label ORDER BY list_cosine_similarity(c.v, vec.v) DESC, vec_id) AS place
-  FROM vec JOIN (SELECT label, list(x ORDER BY at) AS v FROM (
-    SELECT label, at, AVG(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM vec) GROUP BY label, at)
+  FROM vec JOIN (SELECT label, list(x ORDER BY dim) AS v FROM (
+    SELECT label, dim, AVG(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM vec) GROUP BY label, dim)
     GROUP BY label) c ON TRUE) WHERE place <= 5""",
         "vec",
     ),
@@ -543,7 +550,7 @@ FROM (SELECT user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * back AS s FROM
             _DBL.format(c)
             for c in ("recommended_amount", "sanction_amount", "amount_disbursed", "exp_total")
         )
-        + """, CAST(ABS(alloc_limit) AS DOUBLE) AS alloc_limit, CAST(ABS(calamity_consent) AS DOUBLE) AS calamity_consent,
+        + """, CAST(alloc_limit AS DOUBLE) AS alloc_limit, CAST(calamity_consent AS DOUBLE) AS calamity_consent,
   exp_pay_count, exp_vendors, flag_stalled, flag_zero_disbursal, flag_cost_overrun, flag_sanction_overrun FROM rule""",
         "rule",
     ),
