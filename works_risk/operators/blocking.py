@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from works_risk.functions.scalars import amount_bucket
 from works_risk.functions.texts import length_bound, match_ratio, ratio_at_least
 from works_risk.functions.vectors import clipped_cosine
+from works_risk.session import spread
 
 SMALL_ROWS = 64
 VECTOR_TILE_ROWS = 2048
@@ -134,13 +135,20 @@ def similar_texts(
     sized = in_shared_blocks(points.select("block", "item", "first_id", "norm"))
     joined, col = _self_join(sized.filter(F.col("block_rows") <= small_rows), "first_id")
     near = (
-        joined.filter(length_bound(col("a", "norm"), col("b", "norm")) >= floor)
-        .select(
-            col("a", "block").alias("block"),
-            col("a", "item").alias("item_a"),
-            col("b", "item").alias("item_b"),
-            match_ratio(col("a", "norm"), col("b", "norm"), floor).alias("ratio"),
+        spread(
+            joined.filter(length_bound(col("a", "norm"), col("b", "norm")) >= floor).select(
+                col("a", "block").alias("block"),
+                col("a", "item").alias("item_a"),
+                col("b", "item").alias("item_b"),
+                col("a", "norm").alias("norm_a"),
+                col("b", "norm").alias("norm_b"),
+            ),
+            "block",
+            "item_a",
+            "item_b",
         )
+        .withColumn("ratio", match_ratio(F.col("norm_a"), F.col("norm_b"), floor))
+        .drop("norm_a", "norm_b")
         .filter(F.col("ratio").isNotNull())
     )
 

@@ -10,7 +10,7 @@ from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams,
 from works_risk.operators.blocking import block_key, in_shared_blocks, similar_items
 from works_risk.operators.ordering import top_rows
 from works_risk.params import MIN_TEXT_CHARS, Params
-from works_risk.session import settle
+from works_risk.session import settle, spread
 
 _EDGE = ["block", "item_a", "item_b", "similarity"]
 
@@ -48,7 +48,7 @@ def embedded(points: DataFrame, embed_many: EmbedMany = hashed_trigrams) -> Data
 
     Settled, because the embedder is the costly step and several branches read its result.
     """
-    raw = points.withColumn("raw", embedding(F.col("text"), embed_many)).drop("text")
+    raw = spread(points, "block", "item").withColumn("raw", embedding(F.col("text"), embed_many)).drop("text")
     return settle(with_unit(raw.filter(norm(F.col("raw")) > 0), "raw").drop("raw"))
 
 

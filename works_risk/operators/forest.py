@@ -20,7 +20,7 @@ from works_risk.operators.features import feature_medians, finite_features, impu
 from works_risk.operators.quantiles import exact_quantiles
 from works_risk.params import Params
 from works_risk.schema import FEATURE_COLUMNS
-from works_risk.session import settle
+from works_risk.session import settle, spread_if_few
 
 # The trees draw from a hashed pool of about this many rows, so only the pool meets the per-tree hash.
 POOL_ROWS = 131_072
@@ -140,7 +140,7 @@ def forest_scores(rows: DataFrame, nodes: DataFrame, sample_size: int) -> DataFr
 
 def outliers(features: DataFrame, params: Params) -> DataFrame:
     """``work_id, anomaly_score, is_anomaly`` for every work; too few inputs give a NULL score and no flag."""
-    finite = settle(finite_features(features).select("work_id", "n_features", *FEATURE_COLUMNS))
+    finite = spread_if_few(settle(finite_features(features).select("work_id", "n_features", *FEATURE_COLUMNS)), "work_id")
     enough = F.col("n_features") >= params.min_features
     usable = finite.filter(enough)
     n = usable.count()

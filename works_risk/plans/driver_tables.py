@@ -7,9 +7,11 @@ a document its description.
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from works_risk.functions.vectors import with_unit
 from works_risk.operators.blocking import block_key, in_shared_blocks
@@ -22,8 +24,15 @@ PARAMS = Params(ref_date=dt.date(2002, 1, 1), stall_before=dt.date(1999, 1, 1))
 CONSENT_NATION = 0
 
 
+@lru_cache(maxsize=None)
+def _schema(application: str, path: str) -> T.StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its footer is read for the schema once per application."""
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def money(c: str | Column) -> Column:

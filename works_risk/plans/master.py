@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.cleaning import fiscal_year, mp_number, work_number
-from works_risk.operators.ordering import first_per_key
 from works_risk.params import Params
 from works_risk.schema import MASTER
 from works_risk.sources import extracts as X
@@ -20,90 +19,107 @@ def work_ids(stages: list[DataFrame], key: str = "work_id") -> DataFrame:
     return reduce(DataFrame.unionByName, ids).filter(F.col(key).isNotNull()).distinct()
 
 
-def payments(expenditure: DataFrame, key: str, params: Params) -> DataFrame:
-    """Payments of each work: dated rows, totals and distinct vendors."""
-    status = F.lower(F.coalesce("payment_status", F.lit("")))
-    pending = status.contains("in-progress") & F.lit(params.split_payments)
+_PAID = ("exp_pay_count", "exp_total", "exp_inprogress", "exp_paid")
+_TEXTS = ("state", "mp_name", "constituency", "work_desc")
+
 
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0)).cast("decimal(18,2)")
+def payments_by_vendor(expenditure: DataFrame, key: str, params: Params, names: tuple[str, ...] = ()) -> DataFrame:
+    """Payments of each work and vendor. Two-step counting spreads a work with very many payments over its vendors.
 
-    return expenditure.groupBy(key).agg(
+    With ``names``, the first row's text fields come along as the struct ``expenditure``.
+    """
+    status = F.lower(F.coalesce("payment_status", F.lit("")))
+    pending = status.contains("in-progress") & F.lit(params.split_payments)
+    zero = F.lit(0).cast("decimal(18,2)")
+    aggs = [
         F.count("paid_on").alias("exp_pay_count"),
         F.sum("amount").cast("decimal(18,2)").alias("exp_total"),
-        total(pending).alias("exp_inprogress"),
-        total(~pending).alias("exp_paid"),
-        F.count_distinct("vendor").alias("exp_vendors"),
-    )
+        F.sum(F.when(pending, F.col("amount")).otherwise(zero)).cast("decimal(18,2)").alias("exp_inprogress"),
+        F.sum(F.when(pending, zero).otherwise(F.col("amount"))).cast("decimal(18,2)").alias("exp_paid"),
+    ]
+    if names:
+        aggs.append(F.min_by(F.struct(*names, X.ORDINAL), X.ORDINAL).alias("expenditure"))
+    return expenditure.groupBy(key, "vendor").agg(*aggs)
+
+
+def _payment_totals() -> list[Column]:
+    sums = [F.sum(c).alias(c) for c in _PAID]
+    return [*sums, F.count("vendor").alias("exp_vendors")]
+
+
+def payments(expenditure: DataFrame, key: str, params: Params) -> DataFrame:
+    """Payments of each work: dated rows, totals and distinct vendors."""
+    totals = payments_by_vendor(expenditure, key, params).groupBy(key).agg(*_payment_totals())
+    return totals.withColumns({c: F.col(c).cast("decimal(18,2)") for c in _PAID[1:]})
 
 
 def assemble(
     stages: dict[str, DataFrame], params: Params, key: str = "work_id", carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Join the stages on the work key. Every side is one row per key, so the joins share one partitioning.
+    """One row per key over all stages, by stacking the stages and grouping once.
+
+    Stacking reads every stage once and shuffles once, after combining on the map side; a chain of joins would
+    shuffle each stage and the key list. The first row of a key counts within a stage.
 
     Text fields come from the first stage that has them: recommended, sanctioned, completed, and with
     ``names_from_expenditure`` the payments. A disbursed amount of 0 counts as not known and falls back to the
     payment total. ``carried`` names further text fields to pass through.
     """
-    joined = work_ids(list(stages.values()), key)
-    have: dict[str, list[str]] = {}
-    for role in ("recommended", "sanctioned", "completed", "expenditure"):
-        if role not in stages:
-            continue
-        side = _one_row_per_key(stages[role], role, key, params)
-        cols = [c for c in side.columns if c != key]
-        side = side.select(key, F.lit(True).alias(f"{role}_there"), *[F.col(c).alias(f"{role}_{c}") for c in cols])
-        joined = joined.join(side, key, "left")
+    stacked, aggs = [], []
+    fields: dict[str, list[Column]] = {}
+
+    def offer(role: str, cols: list[str]) -> None:
         for c in cols:
-            have.setdefault(c, []).append(f"{role}_{c}")
+            fields.setdefault(c, []).append(F.col(f"{role}.{c}"))
+
+    for role in ("recommended", "sanctioned", "completed"):
+        if role in stages:
+            rows = stages[role]
+            cols = [c for c in rows.columns if c != key]
+            stacked.append(rows.select(key, F.struct(*cols).alias(role)))
+            ordered = X.ORDINAL in cols
+            aggs.append((F.min_by(role, F.col(f"{role}.{X.ORDINAL}")) if ordered else F.any_value(role, True)).alias(role))
+            offer(role, [c for c in cols if c != X.ORDINAL])
+    if "expenditure" in stages:
+        names = tuple(c for c in _TEXTS if c in stages["expenditure"].columns) if params.names_from_expenditure else ()
+        rows = payments_by_vendor(stages["expenditure"], key, params, names)
+        stacked.append(rows.withColumn("there", F.lit(True)))
+        aggs += [*_payment_totals(), F.max("there").alias("there")]
+        if names:
+            aggs.append(F.min_by("expenditure", F.col(f"expenditure.{X.ORDINAL}")).alias("expenditure"))
+            offer("expenditure", list(names))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    grouped = whole.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
     def pick(name: str, kind: str) -> Column:
-        return F.coalesce(*[F.col(c) for c in have.get(name, [])], F.lit(None).cast(kind))
+        return F.coalesce(*fields.get(name, []), F.lit(None).cast(kind))
+
+    def text(name: str) -> Column:
+        return F.coalesce(pick(name, "string"), F.lit("")).alias(name)
+
+    def amount(c: Column, name: str) -> Column:
+        return F.coalesce(c, F.lit(0)).cast("decimal(18,2)").alias(name)
 
     def there(role: str) -> Column:
-        return F.coalesce(F.col(f"{role}_there"), F.lit(False)) if role in stages else F.lit(False)
+        return F.col(role).isNotNull() if role in stages else F.lit(False)
 
-    zero = F.lit(0).cast("decimal(18,2)")
-    named = [F.coalesce(pick(c, "string"), F.lit("")).alias(c) for c in ("state", "mp_name", "constituency", "work_desc", *carried)]
-    count = F.lit(0).cast("bigint")
-    return joined.select(
+    def paid(name: str) -> Column:
+        return F.col(name) if "expenditure" in stages else F.lit(None)
+
+    known = F.nullif(pick("amount", "decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return grouped.select(
         key,
-        *named,
-        F.coalesce(pick("work_title", "string"), F.lit("")).alias("work_title"),
-        F.coalesce(pick("work_category", "string"), F.lit("")).alias("work_category"),
-        F.coalesce(pick("work_status", "string"), F.lit("")).alias("work_status"),
-        pick("recommended_date", "date").alias("recommended_date"),
-        F.coalesce(pick("recommended_amount", "decimal(18,2)"), zero).alias("recommended_amount"),
-        pick("sanction_date", "date").alias("sanction_date"),
-        F.coalesce(pick("sanction_amount", "decimal(18,2)"), zero).alias("sanction_amount"),
-        pick("completion_date", "date").alias("completion_date"),
-        F.coalesce(F.nullif(pick("amount", "decimal(18,2)"), zero), pick("exp_total", "decimal(18,2)"), zero).alias("amount_disbursed"),
-        F.coalesce(pick("exp_pay_count", "bigint"), count).alias("exp_pay_count"),
-        F.coalesce(pick("exp_total", "decimal(18,2)"), zero).alias("exp_total"),
-        F.coalesce(pick("exp_inprogress", "decimal(18,2)"), zero).alias("exp_inprogress"),
-        F.coalesce(pick("exp_paid", "decimal(18,2)"), zero).alias("exp_paid"),
-        F.coalesce(pick("exp_vendors", "bigint"), count).alias("exp_vendors"),
-        there("recommended").alias("is_recommended"),
-        there("sanctioned").alias("is_sanctioned"),
-        there("completed").alias("is_completed"),
-        there("expenditure").alias("has_expenditure"),
+        *[text(c) for c in (*_TEXTS, "work_title", "work_category", "work_status", *carried)],
+        *[pick(c, "date").alias(c) for c in ("recommended_date", "sanction_date", "completion_date")],
+        *[amount(pick(c, "decimal(18,2)"), c) for c in ("recommended_amount", "sanction_amount")],
+        amount(F.coalesce(known, paid("exp_total")), "amount_disbursed"),
+        *[amount(paid(c), c) for c in _PAID[1:]],
+        *[F.coalesce(paid(c), F.lit(0)).cast("bigint").alias(c) for c in ("exp_pay_count", "exp_vendors")],
+        *[there(role).alias(f"is_{role}") for role in ("recommended", "sanctioned", "completed")],
+        (F.coalesce("there", F.lit(False)) if "expenditure" in stages else F.lit(False)).alias("has_expenditure"),
     )
 
 
-def _one_row_per_key(stage: DataFrame, role: str, key: str, params: Params) -> DataFrame:
-    if role != "expenditure":
-        if X.ORDINAL not in stage.columns:
-            return stage
-        return first_per_key(stage, [key], F.col(X.ORDINAL)).drop(X.ORDINAL)
-    paid = payments(stage, key, params)
-    if not params.names_from_expenditure:
-        return paid
-    names = [c for c in ("work_desc", "state", "mp_name", "constituency") if c in stage.columns]
-    first = first_per_key(stage.select(key, *names, X.ORDINAL), [key], F.col(X.ORDINAL)).drop(X.ORDINAL)
-    return paid.join(first, key)
-
-
 def with_limits(works: DataFrame, roster: DataFrame | None, consent: DataFrame | None) -> DataFrame:
     """Limit and calamity consent by member name, 0 when the name is not listed.
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", app: str = "works-risk") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
@@ -61,6 +62,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all cores before a step that costs compute rather than bytes.
+
+    Adaptive execution sizes partitions by bytes, which would leave such a step to a few tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
+def spread_if_few(settled: DataFrame, *keys: str) -> DataFrame:
+    """As ``spread``, for a settled table, and only when it has fewer partitions than there are cores."""
+    few = settled.rdd.getNumPartitions() < settled.sparkSession.sparkContext.defaultParallelism
+    return spread(settled, *keys) if few else settled
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for one written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
