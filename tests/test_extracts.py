@@ -119,17 +119,16 @@ def test_file_order_survives_splitting(spark, tmp_path):
 def test_evidence_row_choice(spark, folder):
     raw = read_extracts(spark, str(folder))
     works = spark.createDataFrame([("MP9/2023-2024/5",), ("MP084/2024-2025/1",)], "work_id string")
-    got = {r["work_id"]: r["row_text"] for r in evidence_rows(raw.get("expenditure"), works, ORDINAL, WORK_ID).collect()}
+    got = {r["work_id"]: r["row_text"] for r in evidence_rows(raw.get("expenditure"), ORDINAL, WORK_ID, works).collect()}
     assert got == {
         "MP9/2023-2024/5": "State: Goa; Work: Hall; Work ID: WS/MP9/2023-2024/5; Expenditure Date: 01-Dec-2023; Payment Status: Payment Success; "
         "Fund Disbursed Amount ( ₹ ): 100"
     }
-    rec = {r["work_id"]: r["row_text"] for r in evidence_rows(raw.get("recommended"), works, ORDINAL, WORK_ID).collect()}
+    rec = {r["work_id"]: r["row_text"] for r in evidence_rows(raw.get("recommended"), ORDINAL, WORK_ID).collect()}
     assert rec["MP084/2024-2025/1"].startswith("WORK: WS/MP084/2024-2025/1-Tank; Work category: Normal/Others; Work description: nan; State: Kerala")
     both = spark.createDataFrame(
         [(1, "see MP1/2020-2021/1", "MP1/2020-2021/2"), (2, "none", "MP1/2020-2021/1"), (3, "MP1/2020-2021/2", "x")],
         "_ordinal int, work string, status string",
     )
-    wanted = spark.createDataFrame([("MP1/2020-2021/1",), ("MP1/2020-2021/2",)], "work_id string")
-    hits = {r["work_id"]: r["row_text"] for r in evidence_rows(both, wanted, "_ordinal", WORK_ID).collect()}
+    hits = {r["work_id"]: r["row_text"] for r in evidence_rows(both, "_ordinal", WORK_ID).collect()}
     assert hits["MP1/2020-2021/1"].startswith("work: see") and hits["MP1/2020-2021/2"].startswith("work: MP1/2020-2021/2")

@@ -21,6 +21,7 @@ from works_risk.functions.vectors import clipped_cosine
 from works_risk.session import spread
 
 SMALL_ROWS = 64
+SALTS = 64
 VECTOR_TILE_ROWS = 2048
 TEXT_TILE_ROWS = 256
 _CHUNK = 512
@@ -41,6 +42,27 @@ def in_shared_blocks(rows: DataFrame) -> DataFrame:
     return rows.join(block_sizes(rows).filter(F.col("block_rows") >= 2), "block")
 
 
+def split_blocks(points: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Points of small blocks, and points of larger blocks with the size of their block.
+
+    Only the larger blocks are listed, each once per salt, and points meet the list on block and salt. A hot block is
+    so spread over ``SALTS`` partitions even where the list is too long for Spark to broadcast.
+    """
+    listed = block_sizes(points).filter(F.col("block_rows") > small_rows)
+    salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")
+    marked = points.withColumn("salt", own).join(salted, ["block", "salt"], "left").drop("salt")
+    return marked.filter(F.col("block_rows").isNull()).drop("block_rows"), marked.filter(F.col("block_rows").isNotNull())
+
+
+def shared_points(points: DataFrame) -> DataFrame:
+    """Folded points whose block holds at least two works. ``points`` has the number of ``works`` behind each."""
+    small, big = split_blocks(points)
+    works = points.groupBy("block").agg(F.sum("works").alias("block_works"), F.count(F.lit(1)).alias("block_rows"))
+    shared = works.filter((F.col("block_works") >= 2) & (F.col("block_rows") <= SMALL_ROWS)).select("block")
+    return small.join(shared, "block", "left_semi").unionByName(big.drop("block_rows"))
+
+
 def _self_join(small: DataFrame, order_col: str) -> tuple[DataFrame, Callable[[str, str], Column]]:
     a, b = small.alias("a"), small.alias("b")
     same = (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{order_col}") < F.col(f"b.{order_col}"))
@@ -91,8 +113,8 @@ def similar_items(
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    sized = in_shared_blocks(points.select("block", "item", "vec"))
-    joined, col = _self_join(sized.filter(F.col("block_rows") <= small_rows), "item")
+    small, big = split_blocks(points.select("block", "item", "vec"), small_rows)
+    joined, col = _self_join(small, "item")
     near = joined.select(
         col("a", "block").alias("block"),
         col("a", "item").alias("item_a"),
@@ -117,7 +139,7 @@ def similar_items(
         )
 
     schema = f"block {types['block']}, item_a {types['item']}, item_b {types['item']}, similarity double"
-    tiles = _tile_pairs(sized.filter(F.col("block_rows") > small_rows), tile_rows)
+    tiles = _tile_pairs(big, tile_rows)
     return near.unionByName(tiles.groupBy("block", "lo", "hi").applyInPandas(match, schema))
 
 
@@ -132,8 +154,8 @@ def similar_texts(
     ``points`` has ``block``, ``item``, ``first_id`` (unique in its block) and the normalised text ``norm``. The text
     with the lower ``first_id`` is the first argument. Returns ``block, item_a, item_b, ratio``.
     """
-    sized = in_shared_blocks(points.select("block", "item", "first_id", "norm"))
-    joined, col = _self_join(sized.filter(F.col("block_rows") <= small_rows), "first_id")
+    small, big = split_blocks(points.select("block", "item", "first_id", "norm"), small_rows)
+    joined, col = _self_join(small, "first_id")
     near = (
         spread(
             joined.filter(length_bound(col("a", "norm"), col("b", "norm")) >= floor).select(
@@ -168,5 +190,5 @@ def similar_texts(
 
     types = dict(points.dtypes)
     schema = f"block {types['block']}, item_a {types['item']}, item_b {types['item']}, ratio double"
-    tiles = _tile_pairs(sized.filter(F.col("block_rows") > small_rows), tile_rows)
+    tiles = _tile_pairs(big, tile_rows)
     return near.unionByName(tiles.groupBy("block", "lo", "hi").applyInPandas(match, schema))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from works_risk.functions.cleaning import has_long_text, has_text
 from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams, norm, with_unit
-from works_risk.operators.blocking import block_key, in_shared_blocks, similar_items
+from works_risk.operators.blocking import block_key, shared_points, similar_items
 from works_risk.operators.ordering import top_rows
 from works_risk.params import MIN_TEXT_CHARS, Params
 from works_risk.session import settle, spread
@@ -16,7 +16,7 @@ _EDGE = ["block", "item_a", "item_b", "similarity"]
 
 
 def claims(master: DataFrame, params: Params, min_chars: int = 1) -> DataFrame:
-    """Works that can be compared: usable text, in a block with another such work.
+    """Works that can be compared: those with usable text.
 
     Returns ``work_id, block, fy, text, item``. ``item`` names the text, so copies share it.
     """
@@ -31,16 +31,20 @@ def claims(master: DataFrame, params: Params, min_chars: int = 1) -> DataFrame:
         F.coalesce("fy", F.lit("")).alias("fy"),
         F.trim("work_desc").alias("text"),
     )
-    return in_shared_blocks(keyed).drop("block_rows").withColumn("item", F.sha2("text", 256))
+    return keyed.withColumn("item", F.sha2("text", 256))
 
 
 def folded(members: DataFrame) -> DataFrame:
-    """One point per distinct text of a block: its text, number of works and lowest work id."""
-    return members.groupBy("block", "item").agg(
+    """One point per distinct text of a block: its text, number of works and lowest work id.
+
+    Blocks of a single work are left out. Copies combine before the shuffle, and the shuffle is by block and text.
+    """
+    points = members.groupBy("block", "item").agg(
         F.any_value("text").alias("text"),
         F.count(F.lit(1)).alias("works"),
         F.min("work_id").alias("first_id"),
     )
+    return shared_points(points)
 
 
 def embedded(points: DataFrame, embed_many: EmbedMany = hashed_trigrams) -> DataFrame:

@@ -126,11 +126,13 @@ def ordered_dedupe(spark, sf):
 
 
 def expenditure_agg(spark, sf):
-    return payments(D.payment_rows(spark, sf), "work_no", D.PARAMS).drop("exp_inprogress", "exp_paid")
+    paid = payments(D.payment_rows(spark, sf), "number", D.PARAMS)
+    return paid.select(F.col("number").cast("string").alias("work_no"), "exp_pay_count", "exp_total", "exp_vendors")
 
 
 def payment_split(spark, sf):
-    return payments(D.payment_rows(spark, sf), "work_no", D.PARAMS).select("work_no", "exp_total", "exp_inprogress", "exp_paid")
+    paid = payments(D.payment_rows(spark, sf), "number", D.PARAMS)
+    return paid.select(F.col("number").cast("string").alias("work_no"), "exp_total", "exp_inprogress", "exp_paid")
 
 
 def master(spark, sf):
@@ -225,7 +227,7 @@ def works_page(spark, sf):
 def work_lookup(spark, sf):
     flags = settle(D.flags(spark, sf))
     riskiest = flags.orderBy(*search.risk_order()).first()["work_id"]
-    row = dossier.with_evidence(search.one_work(flags, riskiest), D.raw_extracts(spark, sf), "_ordinal", C.WORK_ID)
+    row = dossier.with_evidence(search.one_work(flags, riskiest), D.raw_extracts(spark, sf), "_ordinal", C.WORK_ID, True)
     return dossier.dossiers(row).select("work_id", "risk_score", F.col("dossier_md").alias("evidence"))
 
 

@@ -54,6 +54,7 @@ def order_works(spark: SparkSession, sf: str) -> DataFrame:
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
+            F.col("o_orderkey").alias("number"),
             F.concat(F.lit("MP"), member, F.lit("/"), fiscal(day), F.lit("/"), number).alias("work_id"),
             number.alias("work_no"),
             member.alias("mp_no"),
@@ -70,17 +71,16 @@ def order_works(spark: SparkSession, sf: str) -> DataFrame:
 
 def sanctions(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").filter(F.col("l_linestatus") == "F")
-    return lines.groupBy(F.col("l_orderkey").cast("string").alias("work_no")).agg(
+    return lines.groupBy(F.col("l_orderkey").alias("number")).agg(
         F.min("l_shipdate").cast("date").alias("sanction_date"),
         F.sum(money("l_extendedprice")).cast("decimal(18,2)").alias("sanction_amount"),
-        F.max("l_linestatus").alias("work_status"),
-    )
+    ).withColumn("work_status", F.lit("F"))
 
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
     net = money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-    return lines.groupBy(F.col("l_orderkey").cast("string").alias("work_no")).agg(
+    return lines.groupBy(F.col("l_orderkey").alias("number")).agg(
         F.max("l_shipdate").cast("date").alias("completion_date"),
         F.sum(net).cast("decimal(18,2)").alias("amount"),
     )
@@ -89,7 +89,7 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
 def payment_rows(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "A")
     return lines.select(
-        F.col("l_orderkey").cast("string").alias("work_no"),
+        F.col("l_orderkey").alias("number"),
         F.col("l_shipdate").cast("date").alias("paid_on"),
         F.when(F.col("l_linestatus") == "F", "Payment Success").otherwise("Payment In-Progress").alias("payment_status"),
         money("l_extendedprice").alias("amount"),
@@ -109,13 +109,13 @@ def consents(spark: SparkSession, sf: str) -> DataFrame:
 def works(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
     """The master, without descriptions."""
     stages = {
-        "recommended": order_works(spark, sf).drop("work_id"),
+        "recommended": order_works(spark, sf).drop("work_id", "work_no"),
         "sanctioned": sanctions(spark, sf),
         "completed": completions(spark, sf),
         "expenditure": payment_rows(spark, sf),
     }
-    joined = assemble(stages, params, key="work_no", carried=("mp_no", "fy"))
-    wid = F.concat(F.lit("MP"), F.col("mp_no"), F.lit("/"), F.col("fy"), F.lit("/"), F.col("work_no"))
+    joined = assemble(stages, params, key="number", carried=("mp_no", "fy"))
+    wid = F.concat(F.lit("MP"), F.col("mp_no"), F.lit("/"), F.col("fy"), F.lit("/"), F.col("number").cast("string"))
     limited = with_limits(joined, roster(spark, sf), consents(spark, sf))
     return identified(limited.withColumn("work_id", wid)).drop("work_title")
 
@@ -140,11 +140,11 @@ def supplies(spark: SparkSession, sf: str) -> DataFrame:
     item = F.format_string("%s (%s, %s)", "p_name", "p_brand", "p_type")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), item.alias("item"))
-    named = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").cast("string").alias("work_no")).agg(
+    named = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("number")).agg(
         F.min("item").alias("first_item"), F.max("item").alias("last_item")
     )
     text = F.format_string("Supply of %s and %s at %s, %s", "first_item", "last_item", "constituency", "state")
-    return order_works(spark, sf).join(named, "work_no").withColumn("work_desc", text).drop("first_item", "last_item")
+    return order_works(spark, sf).join(named, "number").withColumn("work_desc", text).drop("first_item", "last_item")
 
 
 def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
@@ -168,9 +168,9 @@ def vectors(spark: SparkSession, sf: str, dims: int | None = None) -> DataFrame:
 def raw_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The stage records with the headers of the raw extracts, all text, ordered by ``_ordinal``."""
     named = order_works(spark, sf)
-    ids = named.select("work_no", "work_id", "work_category", "state", "mp_name", "constituency")
+    ids = named.select("number", "work_no", "work_id", "work_category", "state", "mp_name", "constituency")
     work = F.concat(F.lit("WS/"), F.col("work_id"), F.lit("-Order "), F.col("work_no"))
-    order = F.col("work_no").cast("bigint").alias("_ordinal")
+    order = F.col("number").alias("_ordinal")
 
     def day(c: str) -> Column:
         return F.date_format(c, "dd-MMM-yyyy")
@@ -186,7 +186,7 @@ def raw_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.col("recommended_amount").cast("string").alias("RECOMMENDED AMOUNT   ( ₹ )"),
         order,
     )
-    sanctioned = sanctions(spark, sf).join(ids, "work_no").select(
+    sanctioned = sanctions(spark, sf).join(ids, "number").select(
         F.col("work_category").alias("Work category"),
         work.alias("Work"),
         F.col("state").alias("State"),
@@ -197,7 +197,7 @@ def raw_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.col("work_status").alias("Work Status"),
         order,
     )
-    completed = completions(spark, sf).join(ids, "work_no").select(
+    completed = completions(spark, sf).join(ids, "number").select(
         work.alias("Work"),
         F.col("state").alias("State"),
         member,
@@ -206,7 +206,7 @@ def raw_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.col("amount").cast("string").alias("Amount Disbursed ( ₹ )"),
         order,
     )
-    expenditure = payment_rows(spark, sf).join(ids, "work_no").select(
+    expenditure = payment_rows(spark, sf).join(ids, "number").select(
         F.col("state").alias("State"),
         F.concat(F.lit("Order "), F.col("work_no")).alias("Work"),
         F.concat(F.lit("WS/"), F.col("work_id")).alias("Work ID"),
