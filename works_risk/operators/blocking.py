@@ -64,7 +64,9 @@ def shared_points(points: DataFrame) -> DataFrame:
 
 
 def _self_join(small: DataFrame, order_col: str) -> tuple[DataFrame, Callable[[str, str], Column]]:
-    a, b = small.alias("a"), small.alias("b")
+    # The join keeps this partitioning, so both sides share one shuffle and the comparisons use all cores.
+    placed = spread(small, "block")
+    a, b = placed.alias("a"), placed.alias("b")
     same = (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{order_col}") < F.col(f"b.{order_col}"))
     return a.join(b, same), lambda side, name: F.col(f"{side}.{name}")
 
@@ -157,20 +159,13 @@ def similar_texts(
     small, big = split_blocks(points.select("block", "item", "first_id", "norm"), small_rows)
     joined, col = _self_join(small, "first_id")
     near = (
-        spread(
-            joined.filter(length_bound(col("a", "norm"), col("b", "norm")) >= floor).select(
-                col("a", "block").alias("block"),
-                col("a", "item").alias("item_a"),
-                col("b", "item").alias("item_b"),
-                col("a", "norm").alias("norm_a"),
-                col("b", "norm").alias("norm_b"),
-            ),
-            "block",
-            "item_a",
-            "item_b",
+        joined.filter(length_bound(col("a", "norm"), col("b", "norm")) >= floor)
+        .select(
+            col("a", "block").alias("block"),
+            col("a", "item").alias("item_a"),
+            col("b", "item").alias("item_b"),
+            match_ratio(col("a", "norm"), col("b", "norm"), floor).alias("ratio"),
         )
-        .withColumn("ratio", match_ratio(F.col("norm_a"), F.col("norm_b"), floor))
-        .drop("norm_a", "norm_b")
         .filter(F.col("ratio").isNotNull())
     )
 

@@ -109,7 +109,7 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 
 def forest_scores(rows: DataFrame, nodes: DataFrame, sample_size: int) -> DataFrame:
     """``work_id, outlier_score``: 2^(-mean depth / c), near 1 for rows that isolate early."""
-    table = nodes.orderBy("tree", "node").toPandas()
+    table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
     start = table.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
     shift = table["tree"].map(start)
     inner = table["feature"].to_numpy() >= 0
