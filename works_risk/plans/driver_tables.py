@@ -136,15 +136,18 @@ def claimants(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFram
 
 
 def supplies(spark: SparkSession, sf: str) -> DataFrame:
-    """Short descriptions in the wording of a works register, out of each order's first and last part by name."""
+    """Short descriptions in the wording of a works register, out of each order's lowest and highest part number."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("number")).agg(
+        F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")
+    )
     item = F.format_string("%s (%s, %s)", "p_name", "p_brand", "p_type")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), item.alias("item"))
-    named = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("number")).agg(
-        F.min("item").alias("first_item"), F.max("item").alias("last_item")
+    parts = table(spark, sf, "part").select("p_partkey", item.alias("item"))
+    named = lines.join(parts.select(F.col("p_partkey").alias("low"), F.col("item").alias("first_item")), "low").join(
+        parts.select(F.col("p_partkey").alias("high"), F.col("item").alias("last_item")), "high"
     )
     text = F.format_string("Supply of %s and %s at %s, %s", "first_item", "last_item", "constituency", "state")
-    return order_works(spark, sf).join(named, "number").withColumn("work_desc", text).drop("first_item", "last_item")
+    works = order_works(spark, sf).join(named, "number").withColumn("work_desc", text)
+    return works.drop("low", "high", "first_item", "last_item")
 
 
 def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
