@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in OUTPUT]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("score", "double").add("predicted", "int")
+    schema = T.StructType([docs.schema[c] for c in kept]).add("score", "double").add("predicted", "integer")
     threshold = model.params.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
