@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.llm import language_id, quality_rules, toxicity
+from works_risk.llm import bpe_lexicon, language_id, quality_rules, rans_tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BYTE_BPE, BYTE_BPE_SIZE = "byte_bpe_50k.json", 50_257
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality_rules.POLICIES["base-1"]
@@ -26,6 +30,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = rans_tokens.write(docs, public_tokenizers.path(BYTE_BPE), BYTE_BPE_SIZE)
+    found = rans_tokens.read(spark, written)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path(BYTE_BPE)
+    name = bpe_lexicon.ship(docs, bpe_lexicon.build(docs, path, public_tokenizers.PATTERN))
+    coded = bpe_lexicon.encode(docs, name, path, public_tokenizers.PATTERN)
+    return bpe_lexicon.decode(coded, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = language_id.id_remainder(F.col("doc_id"), 3) == 1
@@ -45,7 +69,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_rans_tokens": op3_rans_tokens,
     "op8_toxicity": op8_toxicity,
+    "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_language_id": op10_language_id,
 }
 
