@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.llm import bpe_lexicon, language_id, packing, quality_rules, rans_tokens, toxicity
+from works_risk.llm import bpe_lexicon, language_id, line_dedup, packing, quality_rules, rans_tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BYTE_BPE, BYTE_BPE_SIZE = "byte_bpe_50k.json", 50_257
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality_rules.POLICIES["base-1"]
@@ -73,6 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_packing": op4_packing,
@@ -81,6 +86,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+_OP1 = r"""
+WITH l AS (
+  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), solid AS (
+  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), w AS (
+  SELECT doc_id, k, i AS a, lead(i, 1) OVER d AS b, lead(i, 2) OVER d AS c, t AS x, lead(t, 1) OVER d AS y, lead(t, 2) OVER d AS z
+  FROM solid WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+  SELECT doc_id, a, b, c FROM w WHERE c IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, k) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([a, b, c]) AS i FROM later)
+), cut AS (
+  SELECT l.doc_id, count(gone.i) AS n_removed,
+         coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, cut.text, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+       coalesce(cut.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -114,5 +144,6 @@ FROM b
 """
 
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
 }
