@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from works_risk.llm.files import write_bytes
 from works_risk.llm.tokens import SLICE_BYTES, PieceEncoder, binary_rows, byte_alphabet, flat_values, ragged_take
 from works_risk.llm.words import text_slices
-from works_risk.session import shared_dir
+from works_risk.session import scratch, shared_dir
 
 LEXICON_WORDS = 60_000
 _NONE = np.int32(1 << 30)
@@ -311,10 +311,26 @@ class LexiconEncoder(PieceEncoder):
 
 
 def frequent_pieces(docs: DataFrame, most: int, text: str = "text") -> list[str]:
-    """The most frequent strings between spaces, over all documents; equal counts go by spelling."""
+    """The most frequent strings between spaces over all documents, at most ``most``, each found twice or more.
+
+    A histogram of the counts gives the least count that fits, so only the words themselves reach the driver; words that
+    tie beyond it are left out together.
+    """
+    spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).filter(F.col("w") != "")
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [row["w"] for row in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    stored = scratch(spark, "word-counts")
+    words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).write.parquet(stored)
+    counted = spark.read.parquet(stored)
+    # A step is about one percent of a count, so the histogram has a few thousand rows at most.
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("long")
+    histogram = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, held = 1 << 20, 0
+    for at, number in sorted(((row["step"], row["words"]) for row in histogram), reverse=True):
+        held += number
+        if held > most:
+            break
+        least = at
+    return [row["w"] for row in counted.filter(step >= least).select("w").collect()]
 
 
 def build(docs: DataFrame, path: str, pattern: str, most: int = LEXICON_WORDS, text: str = "text") -> Lexicon:
@@ -346,41 +362,51 @@ def _encoder(name: str, path: str, pattern: str) -> LexiconEncoder:
     return LexiconEncoder(_bpe(path), Lexicon.mapped(SparkFiles.get(name)), pattern)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], name: str, path: str, pattern: str, text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with ``ids`` in place of the text, in slices of bounded size."""
+    own = _encoder(name, path, pattern)
+    for batch in batches:
+        for part in text_slices(batch, text, SLICE_BYTES):
+            ids, offsets = own.encode(part.column(text))
+            kept = [c for c in part.schema.names if c not in (text, "ids")]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], binary_rows(ids.astype("<u4"), offsets)], [*kept, "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, to: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the text of their ``ids``, as UTF-8 bytes in the column ``to``."""
+    bpe = _bpe(path)
+    for batch in batches:
+        for part in text_slices(batch, "ids", 2 * SLICE_BYTES):
+            flat, at = flat_values(part.column("ids"), "<u4")
+            lengths = bpe.spelled_lengths[flat]
+            edges = np.concatenate([[0], np.cumsum(lengths)])[at]
+            spelled = ragged_take(bpe.spelled, bpe.spelled_starts[flat], lengths)
+            rows = binary_rows(spelled, edges)
+            if not _valid(spelled):  # ids that cut a character: as the library, put the replacement character
+                rows = pa.array([r.as_py().decode("utf-8", "replace").encode() for r in rows], pa.binary())
+            kept = [c for c in part.schema.names if c != to]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], rows], [*kept, to])
+
+
+def _without(docs: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([f for f in docs.schema if f.name not in names])
+
+
 def encode(docs: DataFrame, name: str, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``ids``: the token ids as little-endian unsigned 32-bit integers."""
-    kept = [c for c in docs.columns if c not in (text, "ids")]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("ids", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(name, path, pattern)
-        for batch in batches:
-            for part in text_slices(batch, text, SLICE_BYTES):
-                ids, offsets = own.encode(part.column(text))
-                made = binary_rows(ids.astype("<u4"), offsets)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], made], [*kept, "ids"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``coded`` with ``to``: the text of the ids, as UTF-8 bytes."""
-    kept = [c for c in coded.columns if c != to]
-    schema = T.StructType([coded.schema[c] for c in kept]).add(to, "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(path)
-        for batch in batches:
-            for part in text_slices(batch, ids, 4 * SLICE_BYTES // 3):
-                flat, at = flat_values(part.column(ids), "<u4")
-                lengths = bpe.spelled_lengths[flat]
-                edges = np.concatenate([[0], np.cumsum(lengths)])[at]
-                spelled = ragged_take(bpe.spelled, bpe.spelled_starts[flat], lengths)
-                rows = binary_rows(spelled, edges)
-                if not _valid(spelled):  # ids that cut a character: as the library, put the replacement character
-                    rows = pa.array([r.as_py().decode("utf-8", "replace").encode() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], rows], [*kept, to])
-
-    return coded.mapInArrow(run, schema)
+    schema = _without(docs, text, "ids").add("ids", "binary")
+    return docs.mapInArrow(lambda batches: _encoded(batches, name, path, pattern, text), schema)
+
+
+def decode(coded: DataFrame, path: str, to: str = "decoded") -> DataFrame:
+    """``coded``, which has ``ids``, with ``to``: the text of the ids, as UTF-8 bytes."""
+    return coded.mapInArrow(lambda batches: _decoded(batches, path, to), _without(coded, to).add(to, "binary"))
+
+
+def round_trip(docs: DataFrame, name: str, path: str, pattern: str, text: str = "text", to: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one pass through a Python worker."""
+    schema = _without(docs, text, "ids", to).add("ids", "binary").add(to, "binary")
+    return docs.mapInArrow(lambda batches: _decoded(_encoded(batches, name, path, pattern, text), path, to), schema)
 
 
 def _valid(spelled: np.ndarray) -> bool:

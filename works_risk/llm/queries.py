@@ -50,8 +50,7 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(BYTE_BPE)
     name = bpe_lexicon.ship(docs, bpe_lexicon.build(docs, path, public_tokenizers.PATTERN))
-    coded = bpe_lexicon.encode(docs, name, path, public_tokenizers.PATTERN)
-    return bpe_lexicon.decode(coded, path).select(
+    return bpe_lexicon.round_trip(docs, name, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together. More bytes repeat more pieces.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 #: Pieces a worker keeps with their ids, to encode them once.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 250_000
 
 
 @dataclass
