@@ -20,7 +20,7 @@ def open_output(path: str):
     """A stream to a new file; folders are made."""
     system, name = _at(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(name)
+    return system.open_output_stream(name, compression=None)
 
 
 def open_input(path: str):
