@@ -21,8 +21,10 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, unique: Column, count: s
     hot = facts.filter(F.col(count) > bound).select(F.col(key).alias("_hot"), F.struct(*values).alias("_hot_facts"))
     cold = facts.filter(F.col(count) <= bound).select(F.col(key).alias("_dealt"), F.struct(*values).alias("_facts"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    text = F.col(key).cast("string")
-    dealt = F.when(F.col("_hot").isNull(), F.concat(F.lit("k"), text)).otherwise(F.concat(F.lit("u"), unique.cast("string")))
-    met = marked.withColumn("_by", dealt).join(cold.withColumn("_dealt", F.concat(F.lit("k"), F.col("_dealt").cast("string"))), F.col("_by") == F.col("_dealt"), "left")
+    named = lambda value: F.concat(F.lit("k"), value.cast("string"))
+    apart = F.concat(F.lit("u"), unique.cast("string"))  # rows of hot keys and of no key
+    dealt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), named(F.col(key))).otherwise(apart)
+    cold = cold.withColumn("_dealt", named(F.col("_dealt")))
+    met = marked.withColumn("_by", dealt).join(cold, F.col("_by") == F.col("_dealt"), "left")
     found = [F.coalesce(F.col(f"_hot_facts.{v}"), F.col(f"_facts.{v}")).alias(v) for v in values]
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], *found)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.llm import bpe_lexicon, language_id, line_dedup, packing, quality_rules, rans_tokens, toxicity, warc
+from works_risk.llm import bpe_lexicon, language_id, line_dedup, minhash_dedup, packing, quality_rules, rans_tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(_table(spark, sf_dir, "pages"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_packing": op4_packing,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_lexicon": op9_bpe_lexicon,
