@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from works_risk.llm.components import Forest, components
 from works_risk.llm.lookup import attach
+from works_risk.llm.tiles import KEYS, byte_matrix, byte_rows, forest_links, meet, run_edges, runs, tiled, written
 from works_risk.llm.words import bag_of, text_slices
-from works_risk.session import scratch
 
 SLICE_BYTES = 3_000_000
 OUTPUT = ("class_id", "class_size", "kept")
@@ -171,63 +171,24 @@ def _sign(params: Params):
                 sig = signatures(doc, h, count, part.num_rows, params.slots)
                 keys = band_keys(sig, params)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * params.bands, pa.array(keys.reshape(-1)))
-                columns = [part.column("doc_id"), part.column("digest"), _rows(sig.astype(np.uint8)), lists]
+                columns = [part.column("doc_id"), part.column("digest"), byte_rows(sig.astype(np.uint8)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sig", "keys"])
 
     return run
 
 
-def _rows(table: np.ndarray) -> pa.Array:
-    """A binary value for each row of bytes."""
-    edges = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(table))])
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal ``keys`` from sorted batches; small runs come several at a time, never cut."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = [batch.column(k)[batch.num_rows - 1] for k in keys]
-        ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        same = np.ones(batch.num_rows, bool)
-        for values, end in zip(ids, last):
-            same &= values == end.as_py()
-        cut = int(np.argmax(same))  # where the last run of this batch begins
-        if cut or (held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _edges_of(table: pa.Table, keys: list[str]) -> np.ndarray:
-    values = [table.column(k).to_numpy() for k in keys]
-    new = np.ones(table.num_rows, bool)
-    if table.num_rows:
-        new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
-    return np.append(np.flatnonzero(new), table.num_rows)
-
-
 def _maybe(params: Params):
     """Links inside tiles that signatures allow, as a forest over all tiles of the task."""
     least = params.threshold - params.margin
-    keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[int, int] = {}
         forest = Forest(0)
-        for table in _groups(batches, keys):
-            edges = _edges_of(table, keys)
+        for table in runs(batches, KEYS):
+            edges = run_edges(table, KEYS)
             nodes = table.column("node").to_pylist()
             sides = table.column("side").to_numpy()
-            sig = _matrix(table.column("sig").combine_chunks(), params.slots)
+            sig = byte_matrix(table.column("sig").combine_chunks(), params.slots)
             local = np.array([number.setdefault(n, len(number)) for n in nodes])
             forest.parent.extend(range(len(forest.parent), len(number)))
             for start, stop in zip(edges[:-1], edges[1:]):
@@ -242,31 +203,23 @@ def _maybe(params: Params):
                     if len(rest):
                         for other in rest[agreement(sig[at], sig[rest]) >= least]:
                             forest.join(int(local[at]), int(local[other]))
-        yield _links(number, forest)
+        yield forest_links(number, forest)
 
     return run
 
 
-def _links(number: dict[int, int], forest: Forest) -> pa.RecordBatch:
-    nodes = list(number)
-    roots = [nodes[forest.root(k)] for k in range(len(nodes))]
-    pairs = [(a, b) for a, b in zip(nodes, roots) if a != b]
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
 def _confirm(params: Params):
     """Links inside tiles that the full multisets confirm, as a forest over all tiles of the task."""
     least = params.threshold - params.margin
-    keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[int, int] = {}
         forest = Forest(0)
-        for table in _groups(batches, keys):
-            edges = _edges_of(table, keys)
+        for table in runs(batches, KEYS):
+            edges = run_edges(table, KEYS)
             nodes = table.column("node").to_pylist()
             sides = table.column("side").to_numpy()
-            sig = _matrix(table.column("sig").combine_chunks(), params.slots)
+            sig = byte_matrix(table.column("sig").combine_chunks(), params.slots)
             local = [number.setdefault(n, len(number)) for n in nodes]
             forest.parent.extend(range(len(forest.parent), len(number)))
             bags: list[tuple[np.ndarray, np.ndarray]] = []
@@ -287,42 +240,11 @@ def _confirm(params: Params):
                         other = int(rest[k])
                         if forest.root(local[at]) != forest.root(local[other]) and weighted_jaccard(bags[at], bags[other]) >= params.threshold:
                             forest.join(local[at], local[other])
-        yield _links(number, forest)
+        yield forest_links(number, forest)
 
     return run
 
 
-def _tiled(rows: DataFrame, count: Column, most: int) -> DataFrame:
-    """Cut the keys with more than ``most`` nodes: nodes fall into chunks by hash, and every two chunks meet in a tile (i, j).
-
-    ``side`` is 2 inside a chunk, else which of the two chunks a node is from.
-    """
-    parts = F.ceil(count / most).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), F.col("_parts").cast("long")).cast("int")
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.col("_parts") - 1),
-        lambda j: F.struct(
-            F.least(F.col("_chunk"), j).alias("i"),
-            F.greatest(F.col("_chunk"), j).alias("j"),
-            F.when(F.col("_chunk") == j, 2).when(F.col("_chunk") < j, 0).otherwise(1).alias("side"),
-        ),
-    )
-    made = rows.withColumn("_parts", parts).withColumn("_chunk", chunk).withColumn("_tile", F.explode(tiles))
-    return made.select(*rows.columns, "_tile.i", "_tile.j", "_tile.side")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _meet(rows: DataFrame, run) -> DataFrame:
-    """Bring the rows of each tile together and run the comparison."""
-    laid = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return laid.mapInArrow(run, "a long, b long")
-
-
 def digest(text: Column) -> Column:
     """Equal for texts that differ in case and blanks only; null for a text without a word."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -334,30 +256,30 @@ def links(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFr
     source = docs.select("doc_id", "text").withColumn("digest", digest(F.col("text"))).filter(F.col("digest").isNotNull())
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = source.mapInArrow(_sign(params), f"doc_id {id_type}, digest binary, sig binary, keys array<long>")
-    signed = _written(signed, "signatures")
+    signed = written(signed, "signatures")
     folded = signed.groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
-    nodes = _written(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = written(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    entries = _written(nodes.select("node", F.explode("keys").alias("key")), "bands")
+    entries = written(nodes.select("node", F.explode("keys").alias("key")), "bands")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = _written(shared.withColumn("size", F.col("n")), "band-sizes")
+    shared = written(shared.withColumn("size", F.col("n")), "band-sizes")
     met = attach(entries, shared, "key", F.col("node")).filter(F.col("size").isNotNull())
-    tiled = _tiled(met, F.col("size"), params.tile).join(nodes.select("node", "sig"), "node")
-    maybe = _written(_meet(tiled.select("key", "i", "j", "side", "node", "sig"), _maybe(params)), "maybe-links")
+    cut_bands = tiled(met, F.col("size"), params.tile).join(nodes.select("node", "sig"), "node")
+    maybe = written(meet(cut_bands.select("key", "i", "j", "side", "node", "sig"), _maybe(params)), "maybe-links")
 
-    loose = _written(components(maybe), "loose-groups")
-    sizes = _written(loose.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")), "loose-sizes")
+    loose = written(components(maybe), "loose-groups")
+    sizes = written(loose.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")), "loose-sizes")
     placed = attach(loose, sizes, "component", F.col("node")).withColumnRenamed("component", "key")
-    cut = _tiled(placed, F.col("size"), params.tile)
+    cut = tiled(placed, F.col("size"), params.tile)
     # The text of a node: that of its first row. Copies of a row with the same id are told by nothing, so one is taken.
     wanted = loose.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), "sig"), "node")
     texts = source.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = texts.select("node", "text", "sig").dropDuplicates(["node"])
     full = cut.join(texts, "node").select("key", "i", "j", "side", "node", "sig", "text")
-    confirmed = _written(_meet(full, _confirm(params)), "links")
-    return nodes, _written(components(confirmed), "classes")
+    confirmed = written(meet(full, _confirm(params)), "links")
+    return nodes, written(components(confirmed), "classes")
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -366,13 +288,13 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     member = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         F.col("digest").alias("_digest"), "doc_id", "n_copies", F.coalesce("component", "node").alias("component")
     )
-    member = _written(member, "members")
+    member = written(member, "members")
     merged = member.groupBy("component").agg(
         F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"), F.count(F.lit(1)).alias("n")
     )
-    classed = attach(member.select("_digest", "component", "n_copies"), _written(merged, "merged"), "component", F.col("_digest"))
+    classed = attach(member.select("_digest", "component", "n_copies"), written(merged, "merged"), "component", F.col("_digest"))
     facts = classed.select("_digest", "class_id", "class_size", F.col("n_copies").alias("n"))
-    facts = _written(facts, "class-facts")
+    facts = written(facts, "class-facts")
 
     columns = [c for c in docs.columns if c.lower() not in OUTPUT]
     own = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_digest", digest(F.col("text")))

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.llm import bpe_lexicon, language_id, line_dedup, minhash_dedup, packing, quality_rules, rans_tokens, toxicity, warc
+from works_risk.llm import (
+    bpe_lexicon,
+    embedding_dedup,
+    language_id,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    quality_rules,
+    rans_tokens,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +69,10 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -90,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
