@@ -2,7 +2,7 @@
 
 Documents in ascending ``doc_id`` form one stream of ids per partition. Windows of at most ``length`` ids are cut at the end of a
 document, at the end of a sentence, or, inside a stretch without either, every ``gap`` ids. The cuts minimise padding
-plus a penalty for each cut inside a document, exactly: the best cut before ``j`` is the least of ``cost + position`` over
+plus a penalty for each cut inside a document and a small price for each window, exactly: the best cut before ``j`` is the least of ``cost + position`` over
 a sliding window, which a monotone queue holds, so each candidate costs constant time. A window of a power of two needs no
 padding and is tried on its own.
 
@@ -43,6 +43,8 @@ class Params:
     forced_penalty: int = 24
     #: Most ids without a candidate.
     gap: int = 64
+    #: In ids: the price of a window, so that a stretch is not cut into many short powers of two.
+    window_price: int = 8
 
 
 def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params)
     return at, penalty
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
+def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, window_price: int = 0) -> np.ndarray:
     """The cut positions, first and last included, of the cheapest way to cut the candidates into windows."""
     exact: dict[int, list[int]] = {}
     size = 1
@@ -81,7 +83,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
         for i in exact.get(j, ()):
             if cost[i] < value:
                 value, best = cost[i], i
-        value += price[j]
+        value += price[j] + window_price
         cost[j], came[j] = value, best
         key = value + here
         while waiting and waiting[-1][0] >= key:
@@ -117,7 +119,7 @@ class _Stream:
         total = np.array([t for _, _, t in self.docs], np.int64)
         doc_ends = np.cumsum(total - gone)
         sentence_cuts = np.flatnonzero(self.ends_sentence[ids]) + 1
-        cuts = best_cuts(*candidates(doc_ends, sentence_cuts, self.params), self.params.length)
+        cuts = best_cuts(*candidates(doc_ends, sentence_cuts, self.params), self.params.length, self.params.window_price)
         if not last:
             cuts = cuts[: max(1, len(cuts) - 2)]
         stop = int(cuts[-1])
