@@ -1,10 +1,11 @@
 """Toxicity: embeddings of character n-grams, averaged over a bag of words, into a linear softmax; trained in numpy.
 
-A word is the mean of the vectors of its known n-grams, so a misspelling or an inflected form that was never seen shares the
-vectors of the form that was. The words of a document fall into bags of ``bag_words`` consecutive words; each bag is the
-mean over its slots, a repeated word taking one slot and the others staying zero, and is scored by the softmax. A document
-is as toxic as its most toxic bag, so one insult in a long text is not averaged away. Training learns vectors and softmax together: bags of clean documents are clean, and of a
-toxic document first all bags, then its most toxic one, count as toxic.
+A word is the mean of the vectors of its known n-grams (of half its n-grams at least, so that one known n-gram does not stand
+for a whole unknown word), so a misspelling or an inflected form that was never seen shares the vectors of the form that
+was. The words of a document fall into bags of ``bag_words`` consecutive words; each bag is the mean over its slots, a
+repeated word taking one slot and the others staying zero, and is scored by the softmax. A document is as toxic as its most
+toxic bag, so one insult in a long text is not averaged away. Training learns vectors and softmax together: bags of clean
+documents are clean, and of a toxic document first all bags, then its most toxic one, count as toxic.
 
 Training uses at most ``max_docs`` labelled documents of each class (first by the hash of their id, the only bound) on the
 driver. The trained model folds to one number per n-gram bucket, is broadcast, and scores Arrow batches in numpy.
@@ -63,6 +64,11 @@ def _word_grams(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarra
     return ngrams([w.strip(_EDGE) or "_" for w in words], params.low, params.high, params.bits, False)
 
 
+def _spread(every: np.ndarray, known: np.ndarray, n_words: int) -> np.ndarray:
+    """What the sum over a word's known n-grams is divided by: their number, or half of all its n-grams if that is more."""
+    return np.maximum(np.bincount(known, minlength=n_words), np.bincount(every, minlength=n_words) / 2)
+
+
 def _bags(bag: Bag, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word position of each bag of words, and the first bag of each document; an empty document has no bag."""
     lengths = np.diff(bag.offsets)
@@ -148,6 +154,7 @@ def train(texts: list[str | None], toxic: np.ndarray, params: Params = Params())
         return nothing
     bag = bag_of(pa.array(texts, pa.string()))
     bucket, word = _word_grams(bag.words, params)
+    grams_of = word
     starts, first = _bags(bag, params.bag_words)
     n_bags, n_words = len(starts), len(bag.words)
     if not n_bags:
@@ -159,7 +166,7 @@ def train(texts: list[str | None], toxic: np.ndarray, params: Params = Params())
     if not n_known:
         return nothing
     bucket, word = number[bucket[known]].astype(np.int32), word[known].astype(np.int32)
-    to_word = _Means(word, bucket, n_words, n_known, np.bincount(word, minlength=n_words))
+    to_word = _Means(word, bucket, n_words, n_known, _spread(grams_of, word, n_words))
     slot_bag, slot_word = _slots(bag, starts)
     to_bag = _Means(slot_bag, slot_word, n_bags, n_words, np.full(n_bags, params.bag_words))
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -217,7 +224,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
         bucket, word = _word_grams(bag.words, params)
         weight = model.weight[bucket]
         known = ~np.isnan(weight)
-        size = np.bincount(word[known], minlength=len(bag.words))
+        size = _spread(word, word[known], len(bag.words))
         margin = np.bincount(word[known], weight[known], len(bag.words)) / np.maximum(size, 1)
         starts, first = _bags(bag, params.bag_words)
         slot_bag, slot_word = _slots(bag, starts)
