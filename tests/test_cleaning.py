@@ -29,10 +29,10 @@ def test_ids(spark):
 
 
 def test_money_and_dates(spark):
-    money = ["1,23,456 ( ₹ )", "154773472.11", "4,05,67,400", "", None, "abc", "0", "-12.5"]
+    money = ["1,23,456 ( ₹ )", "154773472.11", "4,05,67,400", "", None, "abc", "0", "-12.5", "Rs. 1,234.50", "₹ 7"]
     df = spark.createDataFrame([(m,) for m in money], "m string")
     got = [r[0] for r in df.select(C.money(F.col("m"))).collect()]
-    assert got == [Decimal(x) for x in ("123456.00", "154773472.11", "40567400.00", "0.00", "0.00", "0.00", "0.00", "-12.50")]
+    assert got == [Decimal(x) for x in ("123456.00", "154773472.11", "40567400.00", "0.00", "0.00", "0.00", "0.00", "-12.50", "1234.50", "7.00")]
     digits = [r[0] for r in df.select(C.money(F.col("m"), "digits")).collect()]
     assert digits[1] == Decimal("15477347211.00")
     days = spark.createDataFrame([(d,) for d in ("23-Sep-2024", "2024-09-23", "2024-13-01", "", None)], "d string")

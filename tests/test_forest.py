@@ -39,7 +39,7 @@ def test_outliers(works):
     assert math.ceil(0.05 * (17879 - 1)) == 894
 
 
-def test_samples_and_nodes(works, monkeypatch):
+def test_samples_and_nodes(works):
     built = features.finite_features(features.build_features(works, PARAMS.ref_date))
     matrix = features.imputed(built, features.feature_medians(built))
     drawn = forest.tree_samples(matrix, 401, PARAMS)
@@ -50,9 +50,18 @@ def test_samples_and_nodes(works, monkeypatch):
     assert nodes["depth"].max() <= 7
     leaves = nodes[nodes["feature"] < 0]
     assert (leaves.groupby("tree")["size"].sum() == 128).all()
-    monkeypatch.setattr(forest, "POOL_ROWS", 150)
-    pooled = {r["count"] for r in forest.tree_samples(matrix, 401, Params(trees=5, tree_sample=20)).groupBy("tree").count().collect()}
-    assert pooled == {20}
+
+
+@pytest.mark.parametrize("n", [1, 7, 39, 41, 262_143, 262_145, 10**11])
+def test_positions_follow_one_rule_at_every_size(n):
+    params = Params(trees=6, tree_sample=20)
+    drawn = forest.drawn_positions(n, params)
+    want = min(20, n)
+    assert drawn.groupby("tree")["_pos"].nunique().to_dict() == dict.fromkeys(range(6), want)
+    assert drawn["_pos"].between(1, n).all()
+    assert drawn.equals(forest.drawn_positions(n, params))
+    if n > 40:
+        assert drawn["_pos"].max() > n / 2 > drawn["_pos"].min()
 
 
 def test_too_few_inputs(works):

@@ -57,3 +57,16 @@ def test_exact_quantiles(spark, monkeypatch, read_out):
     assert got["x"] == pytest.approx(np.percentile(x, 5), rel=1e-12)
     assert got["y"] == np.median(kept)
     assert got["none"] is None
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.499999, 0.5, 0.500001, 0.8, 1.0])
+def test_quantiles_read_out_few_rows_however_many_tie(spark, monkeypatch, share):
+    monkeypatch.setattr(quantiles, "READ_OUT_ROWS", 100)
+    n = 60_001
+    df = spark.range(n).select(F.when(F.col("id") <= n // 2, 0.0).otherwise(F.col("id").cast("double")).alias("x")).repartition(4).cache()
+    read = []
+    out = quantiles._read_out
+    monkeypatch.setattr(quantiles, "_read_out", lambda d, t: read.append(out(d, t)) or read[-1])
+    x = np.where(np.arange(n) <= n // 2, 0.0, np.arange(n))
+    assert quantiles.exact_quantiles(df, {"x": share})["x"] == pytest.approx(np.quantile(x, share))
+    assert all(sum(k for _, k in values) <= 100 for values in read[0])

@@ -27,6 +27,16 @@ def test_nearest_matches_brute_force(spark):
         search.nearest(df, [], 3)
 
 
+@pytest.mark.parametrize("block", [999, 7])
+def test_nearest_takes_any_number_of_queries(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "ANCHOR_BLOCK", 60)
+    v = np.random.default_rng(4).normal(size=(150, 5))
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "id long, vec array<double>")
+    hits = search.nearest(df, df.withColumnRenamed("id", "query"), 1).collect()
+    assert len(hits) == 150 and all(h["query"] == h["id"] and h["score"] == 1.0 for h in hits)
+
+
 def test_similar_works(spark, work):
     df = work(
         {"work_desc": "Construction of drain"}, {"work_desc": "Supply of computers"}, {"work_desc": " "}, {"work_desc": "quiet"}

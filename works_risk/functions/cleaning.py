@@ -72,8 +72,13 @@ def money(c: Column, mode: str = "decimal") -> Column:
 
     ``mode="digits"`` keeps digits only and so drops the sign and the decimal point, for comparing with older outputs.
     """
-    kept = {"decimal": r"[^0-9.-]", "digits": r"[^0-9]"}[mode]
-    number = F.nullif(F.regexp_replace(c, kept, ""), F.lit("")).try_cast("decimal(18,2)")
+    if mode == "digits":
+        plain = F.regexp_replace(c, r"[^0-9]", "")
+    elif mode == "decimal":  # the first number, whatever stands before it ("Rs. 1,234.50")
+        plain = F.regexp_replace(F.regexp_extract(F.regexp_replace(c, r"\s", ""), r"-?[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "")
+    else:
+        raise ValueError("money mode is decimal or digits")
+    number = F.nullif(plain, F.lit("")).try_cast("decimal(18,2)")
     return F.coalesce(number, F.lit(0).cast("decimal(18,2)"))
 
 

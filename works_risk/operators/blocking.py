@@ -25,6 +25,8 @@ SALTS = 64
 VECTOR_TILE_ROWS = 2048
 TEXT_TILE_ROWS = 256
 _CHUNK = 512
+# Both routes round before they compare, so that the order of a sum decides nothing.
+SCORE_PLACES = 12
 
 
 def block_key(grain: int, *extra: Column) -> Column:
@@ -92,12 +94,15 @@ def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 
 
 def _cosine_matches(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    if left.empty or right.empty:
+        yield pd.DataFrame({"x": [], "y": [], "similarity": []})
+        return
     other = np.stack(right["vec"].to_numpy())
     right_items = right["item"].to_numpy()
     left_items = left["item"].to_numpy()
     for at in range(0, len(left), _CHUNK):
         part = np.stack(left["vec"].iloc[at : at + _CHUNK].to_numpy())
-        scores = np.clip(part @ other.T, -1.0, 1.0)
+        scores = np.round(np.clip(part @ other.T, -1.0, 1.0), SCORE_PLACES)
         i, j = np.nonzero(scores >= threshold)
         yield pd.DataFrame({"x": left_items[at + i], "y": right_items[j], "similarity": scores[i, j]})
 
@@ -121,7 +126,7 @@ def similar_items(
         col("a", "block").alias("block"),
         col("a", "item").alias("item_a"),
         col("b", "item").alias("item_b"),
-        clipped_cosine(col("a", "vec"), col("b", "vec")).alias("similarity"),
+        F.round(clipped_cosine(col("a", "vec"), col("b", "vec")), SCORE_PLACES).alias("similarity"),
     ).filter(F.col("similarity") >= threshold)
 
     types = dict(points.dtypes)

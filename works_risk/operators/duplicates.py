@@ -43,6 +43,7 @@ def folded(members: DataFrame) -> DataFrame:
         F.any_value("text").alias("text"),
         F.count(F.lit(1)).alias("works"),
         F.min("work_id").alias("first_id"),
+        F.max("work_id").alias("last_id"),
     )
     return shared_points(points)
 

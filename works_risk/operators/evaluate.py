@@ -73,14 +73,12 @@ def precision_at_k(
     )
     corpus = test.select(F.col("other").alias("id")).distinct().join(vectors, "id")
     with_vec = asked.join(vectors.withColumnRenamed("id", "anchor"), "anchor").select("anchor", "vec")
-    queries = [(row["anchor"], list(row["vec"])) for row in with_vec.collect()]
-    if not queries:
-        return test.sparkSession.createDataFrame([(0, 0.0)], "queries bigint, precision double")
-    hits = nearest(corpus, queries, k).select(F.col("query").alias("anchor"), F.col("id").alias("target"), F.lit(1).alias("hit"))
+    hits = nearest(corpus, with_vec.withColumnRenamed("anchor", "query"), k).select(F.col("query").alias("anchor"), F.col("id").alias("target"), F.lit(1).alias("hit"))
     judged = asked.join(targets, "anchor").join(hits, ["anchor", "target"], "left")
     hit_times = F.sum(F.when(F.col("hit") == 1, F.col("times")).otherwise(0))
     return judged.agg(
-        F.sum("times").alias("queries"), F.round(hit_times / F.sum("times"), 4).alias("precision")
+        F.coalesce(F.sum("times"), F.lit(0)).alias("queries"),
+        F.coalesce(F.round(hit_times / F.sum("times"), 4), F.lit(0.0)).alias("precision"),
     )
 
 

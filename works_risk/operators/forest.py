@@ -12,45 +12,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.scalars import inverted_min_max
 from works_risk.operators.features import feature_medians, finite_features, imputed
+from works_risk.operators.ordering import ordinal
 from works_risk.operators.quantiles import exact_quantiles
 from works_risk.params import Params
 from works_risk.schema import FEATURE_COLUMNS
 from works_risk.session import settle, spread_if_few
 
-# The trees draw from a hashed pool of about this many rows, so only the pool meets the per-tree hash.
-POOL_ROWS = 131_072
-_HASH_SPAN = float(2**63)
-_SPARE = 1.3
 _EULER = 0.5772156649015329
 
 _NODES = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
 
-def _share(*keys) -> F.Column:
-    """A hash of the keys as a number in [0, 1)."""
-    return F.abs(F.shiftright(F.xxhash64(*keys), 1).cast("double")) / (_HASH_SPAN / 2)
+def drawn_positions(n: int, params: Params) -> pd.DataFrame:
+    """``tree, _pos``: distinct positions in 1..n for every tree, ``min(tree_sample, n)`` each."""
+    want = min(params.tree_sample, n)
+    rows = []
+    for tree in range(params.trees):
+        rng = np.random.default_rng([params.seed, tree, 1])
+        if 2 * want >= n:
+            taken = rng.permutation(n)[:want]
+        else:
+            taken = np.zeros(0, np.int64)
+            while len(taken) < want:
+                fresh = np.concatenate([taken, rng.integers(0, n, want)])
+                taken = fresh[np.sort(np.unique(fresh, return_index=True)[1])][:want]
+        rows.append(pd.DataFrame({"tree": tree, "_pos": taken + 1}))
+    return pd.concat(rows, ignore_index=True)
 
 
 def tree_samples(rows: DataFrame, n: int, params: Params) -> DataFrame:
-    """``min(tree_sample, n)`` rows for every tree, without replacement and the same for any partitioning."""
-    want = min(params.tree_sample, n)
-    seed = F.lit(params.seed)
-    pool = rows.filter(_share(seed, "work_id") < min(1.0, POOL_ROWS / n)) if n > 2 * POOL_ROWS else rows
-    pool_n = min(n, POOL_ROWS) if n > 2 * POOL_ROWS else n
-    cut = min(1.0, (_SPARE * want + 60) / pool_n)
-    trees = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
-    drawn = (
-        pool.select("*", trees.alias("tree"))
-        .withColumn("draw", _share(seed, "tree", "work_id"))
-        .filter(F.col("draw") < cut)
-    )
-    order = Window.partitionBy("tree").orderBy("draw", "work_id")
-    return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= want).drop("draw", "rank")
+    """``min(tree_sample, n)`` rows for every tree, without replacement and the same for any partitioning.
+
+    Positions in the order of the work ids are drawn and joined, so the rule is one for any ``n`` and only drawn rows
+    are copied. The drawn table has at most ``trees * tree_sample`` rows, which the parameters bound.
+    """
+    drawn = rows.sparkSession.createDataFrame(drawn_positions(n, params), "tree int, _pos bigint")
+    return ordinal(rows, [F.asc("work_id")], "_pos").join(F.broadcast(drawn), "_pos").drop("_pos")
 
 
 def _grow(points: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from functools import reduce
 from operator import and_
 
@@ -15,8 +15,8 @@ from works_risk.functions.cleaning import has_text
 from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams
 from works_risk.operators.ordering import page, top_rows
 
-# Query vectors travel to every task, so their number is bounded.
-MAX_QUERIES = 1000
+# Vectors of a block that meet in one task.
+QUERY_BLOCK, ANCHOR_BLOCK = 512, 16_384
 
 
 def _leading(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -29,46 +29,53 @@ def _leading(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, level[np.argsort(ids[level])][: k - len(above)]])
 
 
-def nearest(anchors: DataFrame, queries: list[tuple[object, list[float]]], k: int) -> DataFrame:
-    """The ``k`` anchors (``id``, ``vec``) of highest cosine for each ``(query, vector)``.
+def nearest(anchors: DataFrame, queries: DataFrame | list[tuple[object, list[float]]], k: int) -> DataFrame:
+    """The ``k`` anchors (``id``, ``vec``) of highest cosine for each query (``query``, ``vec``).
 
-    Every task scores its anchors against all queries in one product and keeps ``k`` per query, so what is shuffled
-    is ``k`` rows per query and task. Zero vectors score 0. Ties go to the lower id.
+    Queries and anchors are cut into blocks of bounded size by hash; every query block meets every anchor block in one task,
+    which scores them in one product and keeps ``k`` per query, so what is shuffled on is ``k`` rows per query and anchor
+    block. Zero vectors score 0. Ties go to the lower id.
     """
-    if not 1 <= len(queries) <= MAX_QUERIES:
-        raise ValueError(f"between 1 and {MAX_QUERIES} query vectors")
-    spark = anchors.sparkSession
-    keys = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], dtype=float)
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast(np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0))
-    types = dict(anchors.dtypes)
-    key_type = "string" if isinstance(keys[0], str) else "bigint"
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = shared.value
-        kept: list[list[tuple]] = [[] for _ in keys]
-        for batch in batches:
-            if batch.empty:
-                continue
-            vecs = np.stack(batch["vec"].to_numpy()).astype(float)
-            size = np.linalg.norm(vecs, axis=1, keepdims=True)
-            scores = asked @ np.divide(vecs, size, out=np.zeros_like(vecs), where=size > 0).T
-            ids = batch["id"].to_numpy()
-            for q, row in enumerate(scores):
-                merged = kept[q] + [(-row[i], ids[i]) for i in _leading(row, ids, k)]
-                kept[q] = sorted(merged)[:k]
-        found = [(keys[q], item, -score) for q, rows in enumerate(kept) for score, item in rows]
-        yield pd.DataFrame(found, columns=["query", "id", "score"])
-
-    partial = anchors.select("id", "vec").mapInPandas(best, f"query {key_type}, id {types['id']}, score double")
+    if isinstance(queries, list):
+        if not queries:
+            raise ValueError("no query vectors")
+        key = "string" if isinstance(queries[0][0], str) else "bigint"
+        queries = anchors.sparkSession.createDataFrame(queries, f"query {key}, vec array<double>")
+    # Both sides may come from one table, so one of them gets a name of its own.
+    asked, held = queries.select("query", F.col("vec").alias("asked_vec")), anchors.select("id", "vec")
+    n_asked, n_held = (max(1, math.ceil(df.count() / most)) for df, most in ((asked, QUERY_BLOCK), (held, ANCHOR_BLOCK)))
+
+    def block(key: str, n: int, name: str, other: int, other_name: str) -> list[Column]:
+        own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
+        return [own, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name)]
+
+    q = asked.select("*", *block("query", n_asked, "qb", n_held, "ab")).groupBy("qb", "ab")
+    a = held.select("*", *block("id", n_held, "ab", n_asked, "qb")).groupBy("qb", "ab")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            scores = _unit(left["asked_vec"]) @ _unit(right["vec"]).T
+            ids = right["id"].to_numpy()
+            for query, row in zip(left["query"], scores, strict=True):
+                found += [(query, ids[i], row[i]) for i in _leading(row, ids, k)]
+        return pd.DataFrame(found, columns=["query", "id", "score"])
+
+    types = dict(asked.dtypes)["query"], dict(held.dtypes)["id"]
+    partial = q.cogroup(a).applyInPandas(best, f"query {types[0]}, id {types[1]}, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     placed = partial.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     return placed.withColumn("score", F.round("score", 4))
 
 
-def anchor_table(flags: DataFrame, n: int | None = 200, embed_many: EmbedMany = hashed_trigrams) -> DataFrame:
-    """``work_id, vec`` of the ``n`` riskiest flagged works with text."""
+def _unit(vecs: pd.Series) -> np.ndarray:
+    matrix = np.stack(vecs.to_numpy()).astype(float)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def anchor_table(flags: DataFrame, n: int | None = None, embed_many: EmbedMany = hashed_trigrams) -> DataFrame:
+    """``work_id, vec`` of the flagged works with text, of the ``n`` riskiest when given."""
     usable = flags.filter(F.col("is_flagged") & has_text(F.col("work_desc"))).select(
         "work_id", "work_desc", "risk_score"
     )

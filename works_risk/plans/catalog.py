@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from works_risk.functions import cleaning as C
-from works_risk.functions.scalars import guarded_ratio
+from works_risk.functions.scalars import guarded_ratio, inverted_min_max
 from works_risk.functions.vectors import clipped_cosine, embedding, norm
 from works_risk.operators import aggregate, blocking, classify, dossier, duplicates, evaluate, features, rules, search
 from works_risk.operators import training_pairs as training
 from works_risk.operators.forest import outliers
 from works_risk.operators.ordering import first_per_key, last_per_key
+from works_risk.operators.quantiles import exact_quantiles
 from works_risk.operators.rate import rolling_counts
 from works_risk.plans import driver_tables as D
 from works_risk.plans.job import run_extracts
@@ -27,7 +28,6 @@ from works_risk.streaming import windows
 from works_risk.streaming.recompute import recompute_on_arrival
 
 PAIR_COSINE = 0.2
-HALF_DIMS = 32
 RATE_SECONDS, RATE_LIMIT = 6 * 3600, 3
 _ROLLED = ["is_sanctioned", "is_completed", "flag_stalled", "flag_zero_disbursal", "has_duplicate_lead", "is_anomaly", "risk_score"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,10 +248,10 @@ def sweep_signals(spark, sf):
 
 
 def model_pairs(spark, sf):
-    """Pairs of two vector models: all dimensions, and the first half of them."""
+    """Pairs of two vector models over the whole vectors: as given, and with signed roots of the components."""
     tables = []
-    for name, dims in (("tuned", None), ("frozen", HALF_DIMS)):
-        found = blocking.similar_items(D.vectors(spark, sf, dims), PAIR_COSINE)
+    for name, rooted in (("tuned", False), ("frozen", True)):
+        found = blocking.similar_items(D.vectors(spark, sf, rooted), PAIR_COSINE)
         tables.append(found.select(F.lit(name).alias("model"), F.col("item_a").alias("work_a"), F.col("item_b").alias("work_b"), "similarity"))
     return reduce(DataFrame.unionByName, tables)
 
@@ -281,7 +281,7 @@ def knn(spark, sf):
     parts = rows.select("label", F.posexplode("embedding").alias("at", "x"))
     means = parts.groupBy("label", "at").agg(F.avg("x").alias("x"))
     centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
-    queries = [(r["label"], [p["x"] for p in r["v"]]) for r in centres.limit(search.MAX_QUERIES + 1).collect()]
+    queries = centres.select(F.col("label").cast("bigint").alias("query"), F.transform("v", lambda p: p["x"]).alias("vec"))
     anchors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     hits = search.nearest(anchors, queries, 5)
     found = hits.join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("hit_label")), "id", "left")
@@ -338,9 +338,9 @@ def group_stats(spark, sf):
     return duplicates.group_stats(keyed)
 
 
-def neighbour_pairs(spark, sf, dims=None):
+def neighbour_pairs(spark, sf, rooted=False):
     """Each vector with the next one; a match when both carry the same label."""
-    rows = D.vectors(spark, sf, dims)
+    rows = D.vectors(spark, sf, rooted)
     a = rows.select(F.col("item").alias("pair_a"), F.col("block").alias("label_a"), F.col("vec").alias("vec_a"), (F.col("item") + 1).alias("pair_b"))
     b = rows.select(F.col("item").alias("pair_b"), F.col("block").alias("label_b"), F.col("vec").alias("vec_b"))
     same = F.col("label_a") == F.col("label_b")
@@ -356,8 +356,8 @@ def neighbour_pairs(spark, sf, dims=None):
 def eval_pairs(spark, sf):
     """Class means, separation, accuracies and correlations of both vector models."""
     results = []
-    for name, dims in (("after", None), ("before", HALF_DIMS)):
-        scored = settle(neighbour_pairs(spark, sf, dims))
+    for name, rooted in (("after", False), ("before", True)):
+        scored = settle(neighbour_pairs(spark, sf, rooted))
         means = evaluate.class_means(scored).first()
         hit = evaluate.accuracy(scored).first()
         tie = evaluate.correlations(scored, "pair_a").first()
@@ -370,7 +370,7 @@ def eval_pairs(spark, sf):
 
 
 def pair_scores(spark, sf):
-    joined = evaluate.before_after(neighbour_pairs(spark, sf, HALF_DIMS), neighbour_pairs(spark, sf))
+    joined = evaluate.before_after(neighbour_pairs(spark, sf, True), neighbour_pairs(spark, sf))
     return rounded(joined, 4, "before", "after")
 
 
@@ -402,6 +402,17 @@ def impute(spark, sf):
     return rounded(full, 6, *FEATURE_COLUMNS).select("work_id", "n_features", *FEATURE_COLUMNS)
 
 
+def score_quantile(spark, sf):
+    """Exact quantiles of a column with many equal values, its inverted min-max score and the rows below a quantile."""
+    rows = D.works(spark, sf).select("work_id", F.col("exp_paid").cast("double").alias("paid"), F.col("sanction_amount").cast("double").alias("size"))
+    rows = settle(rows)
+    cuts = exact_quantiles(rows, {"paid": 0.5, "size": D.PARAMS.contamination})
+    ends = rows.agg(F.min("size"), F.max("size")).first()
+    judged = rows.withColumn("score", inverted_min_max(F.col("size"), ends[0], ends[1]))
+    found = judged.select("work_id", "score", (F.col("paid") < cuts["paid"]).alias("below_median"), (F.col("size") < cuts["size"]).alias("below_cut"))
+    return rounded(found.withColumns({"median_paid": F.lit(cuts["paid"]), "cut_size": F.lit(cuts["size"])}), 4, "score", "median_paid", "cut_size")
+
+
 def scores(spark, sf):
     return outliers(features.build_features(D.works(spark, sf), D.PARAMS.ref_date), D.PARAMS)
 
@@ -417,12 +428,13 @@ def detect(spark, sf):
 
 
 def dossiers(spark, sf):
-    built = dossier.build_dossiers(settle(D.flags(spark, sf)), D.raw_extracts(spark, sf), "_ordinal", None, C.WORK_ID)
+    built = dossier.build_dossiers(D.flags(spark, sf), D.raw_extracts(spark, sf), "_ordinal", None, C.WORK_ID)
     return built.select("work_id", "file_name", "dossier_md", "index_line")
 
 
 def dossier_top(spark, sf):
-    built = dossier.build_dossiers(settle(D.flags(spark, sf)), D.raw_extracts(spark, sf), "_ordinal", 50, C.WORK_ID)
+    chosen = settle(D.flags(spark, sf).filter("is_flagged"))
+    built = dossier.build_dossiers(chosen, D.raw_extracts(spark, sf), "_ordinal", 50, C.WORK_ID)
     return built.select("work_id", "index_line")
 
 
@@ -468,10 +480,17 @@ def stream_window(spark, sf):
     return latest.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")})
 
 
-def write_extracts(spark: SparkSession, sf: str, folder: str) -> None:
-    """The given tables as raw CSV extracts."""
+def write_extracts(spark: SparkSession, sf: str, folder: str, keep: str = "true") -> None:
+    """The given tables as raw CSV extracts, with descriptions; of payments the rows that ``keep`` admits."""
     for role, rows in D.raw_extracts(spark, sf).items():
-        rows.drop("_ordinal").write.option("header", True).csv(f"{folder}/{extracts.FILES[role]}")
+        if role == "recommended":
+            named = D.with_text(spark, sf, rows.withColumn("work_no", F.col("_ordinal")))
+            rows = named.withColumnRenamed("work_desc", "Work description").drop("work_no")
+        if role == "expenditure":
+            rows = rows.filter(keep)
+        # Descriptions hold line breaks and quotes, which quoted fields keep.
+        quoted = rows.drop("_ordinal").write.option("header", True).option("escape", '"')
+        quoted.csv(f"{folder}/{extracts.FILES[role]}")
     listed = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("Sr. No."), F.col("c_name"), D.money("c_acctbal").cast("string").alias("amount"), "c_nationkey")
     limits = listed.select("`Sr. No.`", F.col("c_name").alias("Hon'ble Members of Parliaments"), F.col("amount").alias("Allocated AMOUNT ( ₹ )"))
     limits.write.option("header", True).csv(f"{folder}/{extracts.FILES['roster']}")
@@ -479,24 +498,38 @@ def write_extracts(spark: SparkSession, sf: str, folder: str) -> None:
     consents.select("`Sr. No.`", F.col("c_name").alias("Hon'ble Members of Parliament"), F.col("amount").alias("Consent Amount ( ₹ )")).write.option("header", True).csv(f"{folder}/{extracts.FILES['consent']}")
 
 
+_JOB_FLAGS = ["unparseable", "stalled", "incomplete", "sanction_overrun", "zero_disbursal", "cost_overrun"]
+
+
+def job_columns(flags):
+    """What a run of the job decides, but for the outliers, whose forest no SQL repeats."""
+    return rounded(
+        flags.select(
+            "work_id", "recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "calamity_consent",
+            "exp_pay_count", "exp_vendors", *[f"flag_{n}" for n in _JOB_FLAGS],
+            "dup_partner_count", "dup_partner_sim_max", "dup_partner_cross_fy", "has_duplicate_lead",
+        ),
+        4,
+        "dup_partner_sim_max",
+    )
+
+
 def batch_job(spark, sf):
     """The whole job from raw extracts; flags as written and read back."""
     out = scratch(spark, "job")
     write_extracts(spark, sf, f"{out}/raw")
-    result = run_extracts(spark, f"{out}/raw", f"{out}/tables", D.PARAMS)
-    return result.flags.select("work_id", "recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "is_anomaly", "risk_score", "fraud_type")
+    result = run_extracts(spark, f"{out}/raw", f"{out}/tables", D.PARAMS, multi_line=True)
+    return job_columns(result.flags)
 
 
 def stream_ingest(spark, sf):
-    """Extracts dropped into a watched folder; the flags of the run they start."""
+    """Two deliveries of the same extracts into a watched folder, the first short of payments; the flags after the second."""
     out = scratch(spark, "ingest")
-    write_extracts(spark, sf, f"{out}/raw")
-    recompute_on_arrival(spark, f"{out}/raw", f"{out}/tables", f"{out}/progress", D.PARAMS, embed_many=None).awaitTermination()
-    stored = spark.read.parquet(f"{out}/tables/run=0/flags")
-    return stored.select(
-        "work_id", "recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "calamity_consent",
-        "exp_pay_count", "exp_vendors", "flag_stalled", "flag_zero_disbursal", "flag_cost_overrun", "flag_sanction_overrun",
-    )
+    for number, keep in enumerate(("`Payment Status` = 'Payment Success'", "true")):
+        write_extracts(spark, sf, f"{out}/raw/delivery={number}", keep)
+        arrived = recompute_on_arrival(spark, f"{out}/raw", f"{out}/tables", f"{out}/progress", D.PARAMS, multi_line=True)
+        arrived.awaitTermination()
+    return job_columns(spark.read.parquet(f"{out}/tables/run=1/flags"))
 
 
 def prebuilt_sources(spark, sf):
@@ -554,6 +587,7 @@ CATALOG: dict[str, Query] = {
     "best_row": best_row,
     "latest_verdicts": latest_verdicts,
     "impute": impute,
+    "score_quantile": score_quantile,
     "iforest": iforest,
     "detect": detect,
     "dossier": dossiers,

@@ -160,9 +160,10 @@ def flags(spark: SparkSession, sf: str, params: Params = PARAMS, scores: DataFra
     return judged(with_outliers(signalled, scores), params)
 
 
-def vectors(spark: SparkSession, sf: str, dims: int | None = None) -> DataFrame:
-    """``block, item, vec`` of the vector table, on the first ``dims`` dimensions or all."""
-    raw = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
+def vectors(spark: SparkSession, sf: str, rooted: bool = False) -> DataFrame:
+    """``block, item, vec`` of the vector table; ``rooted`` takes signed square roots, as a second model of the same rows."""
+    root = F.transform("embedding", lambda x: F.signum(x.cast("double")) * F.sqrt(F.abs(x.cast("double"))))
+    raw = root if rooted else F.col("embedding")
     rows = table(spark, sf, "embeddings")
     named = rows.select(F.col("label").alias("block"), F.col("vec_id").alias("item"), raw.alias("raw"))
     return with_unit(named, "raw").drop("raw")

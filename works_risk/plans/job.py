@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,13 @@ def _stored(spark: SparkSession, out: str) -> Result:
     return Result(flags, mps, spark.read.parquet(f"{out}/anchors"), summary(flags), offenders(mps))
 
 
-def publish(flags: DataFrame, out: str, embed_many: EmbedMany = hashed_trigrams) -> Result:
+def publish(flags: DataFrame, out: str, embed_many: EmbedMany = hashed_trigrams, anchors: int | None = None) -> Result:
     """Write flags, roll-up and anchors. Later steps read the written flags instead of computing them again."""
     spark = flags.sparkSession
     sinks.write_flags(flags, f"{out}/flags")
     stored = spark.read.parquet(f"{out}/flags")
     sinks.write_mps(ranked(per_mp(stored)), f"{out}/mps")
-    anchor_table(stored, 200, embed_many).write.mode("overwrite").parquet(f"{out}/anchors")
+    anchor_table(stored, anchors, embed_many).write.mode("overwrite").parquet(f"{out}/anchors")
     return _stored(spark, out)
 
 
@@ -57,17 +58,33 @@ def run_extracts(
     out: str,
     params: Params,
     embed_many: EmbedMany | None = hashed_trigrams,
-    dossier_limit: int | None = 50,
+    dossier_limit: int | None = None,
+    anchors: int | None = None,
+    multi_line: bool = False,
+    tolerant: bool = False,
 ) -> Result:
-    """Extracts to written flags, roll-up, anchors and dossiers."""
-    raw = read_extracts(spark, folder, params.chamber)
+    """Extracts to written flags, roll-up, anchors and dossiers.
+
+    ``dossier_limit`` and ``anchors`` keep only the riskiest works; by default every flagged work gets both. ``multi_line``
+    and ``tolerant`` are those of ``read_csv``.
+    """
+    raw = read_extracts(spark, folder, params.chamber, multi_line, tolerant)
     master_from_extracts(raw, params).write.mode("overwrite").parquet(f"{out}/master")
     master = spark.read.parquet(f"{out}/master")
-    result = publish(detect_live(master, params, embed_many), out, embed_many or hashed_trigrams)
+    result = publish(detect_live(master, params, embed_many), out, embed_many or hashed_trigrams, anchors)
     sinks.write_dossiers(build_dossiers(result.flags, raw_tables(raw), ORDINAL, dossier_limit), f"{out}/dossiers")
     return result
 
 
+def run_chambers(spark: SparkSession, folders: dict[str, str], out: str, params: Params, **options) -> DataFrame:
+    """``run_extracts`` for every house, with its own extracts, into ``out/chamber=<name>``; the flags of all, by ``chamber``."""
+    tables = []
+    for chamber, folder in folders.items():
+        result = run_extracts(spark, folder, f"{out}/chamber={chamber}", replace(params, chamber=chamber), **options)
+        tables.append(result.flags.withColumn("chamber", F.lit(chamber)))
+    return reduce(DataFrame.unionByName, tables)
+
+
 def run_master(
     master: DataFrame, sweep: DataFrame | None, model: str, out: str, params: Params
 ) -> Result:

@@ -189,7 +189,7 @@ SELECT work_id, risk_score, reasons,
     {", ".join(f"CASE WHEN {c} THEN CONCAT_WS(chr(10), " + ", ".join(lit(x) for x in t) + ") END" for c, t in BENIGN.items())},
     {", ".join(lit(x) for x in CLOSING)}) AS dossier_md
 FROM flags JOIN route ON route_type = pattern JOIN raw USING (work_id) WHERE is_flagged""",
-    "vec": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, CAST(embedding[1:32] AS DOUBLE[]) AS h FROM embeddings",
+    "vec": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, list_transform(CAST(embedding AS DOUBLE[]), lambda x: sign(x) * sqrt(abs(x))) AS h FROM embeddings",
     "vpairs": """
 SELECT a.label, a.vec_id AS work_a, b.vec_id AS work_b, list_cosine_similarity(a.v, b.v) AS s_all, list_cosine_similarity(a.h, b.h) AS s_half
 FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id""",
@@ -276,6 +276,17 @@ def _ranks(value: str) -> str:
     return f"RANK() OVER (PARTITION BY model ORDER BY {value}) + (COUNT(*) OVER (PARTITION BY model, {value}) - 1) / 2.0"
 
 
+_JOB = query(
+    "SELECT work_id, "
+    + ", ".join(_DBL.format(c) for c in ("recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "calamity_consent"))
+    + """, exp_pay_count, exp_vendors, flag_unparseable, flag_stalled, flag_incomplete, flag_sanction_overrun, flag_zero_disbursal, flag_cost_overrun,
+  COALESCE(dup_partner_count, 0) AS dup_partner_count, round(COALESCE(dup_partner_sim_max, 0), 4) AS dup_partner_sim_max,
+  COALESCE(dup_partner_cross_fy, 0) AS dup_partner_cross_fy, COALESCE(dup_partner_cross_fy, 0) > 0 AS has_duplicate_lead
+FROM rule LEFT JOIN sig USING (work_id)""",
+    "rule",
+    "sig",
+)
+
 ORACLE = {
     "clean_ids": query(
         """
@@ -506,6 +517,15 @@ SELECT event_type, arg_max(event_id, (value, -event_id)) AS event_id, MAX(value)
         + f" FROM feat JOIN (SELECT {_MEDIANS} FROM feat) ON TRUE",
         "feat",
     ),
+    "score_quantile": query(
+        """
+SELECT work_id, round((hi - size) / (hi - lo), 4) AS score, paid < q50 AS below_median, size < q05 AS below_cut,
+  round(q50, 4) AS median_paid, round(q05, 4) AS cut_size
+FROM (SELECT work_id, CAST(exp_paid AS DOUBLE) AS paid, CAST(sanction_amount AS DOUBLE) AS size FROM m),
+  (SELECT quantile_cont(CAST(exp_paid AS DOUBLE), 0.5) AS q50, quantile_cont(CAST(sanction_amount AS DOUBLE), 0.05) AS q05,
+    CAST(MIN(sanction_amount) AS DOUBLE) AS lo, CAST(MAX(sanction_amount) AS DOUBLE) AS hi FROM m)""",
+        "m",
+    ),
     "dossier": query(
         """SELECT work_id, file_name, dossier_md,
   '- [' || work_id || '](' || file_name || ') — risk ' || risk_score || '/100 — ' || reasons AS index_line FROM doss""",
@@ -544,16 +564,8 @@ SELECT event_id AS seq, user_id AS key, recent, recent <= 3 AS allowed FROM (
 SELECT user_id AS key, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   COUNT(*) AS requests
 FROM (SELECT user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * back AS s FROM events, range(0, 6) r(back)) GROUP BY user_id, s""",
-    "stream_ingest": query(
-        "SELECT work_id, "
-        + ", ".join(
-            _DBL.format(c)
-            for c in ("recommended_amount", "sanction_amount", "amount_disbursed", "exp_total")
-        )
-        + """, CAST(alloc_limit AS DOUBLE) AS alloc_limit, CAST(calamity_consent AS DOUBLE) AS calamity_consent,
-  exp_pay_count, exp_vendors, flag_stalled, flag_zero_disbursal, flag_cost_overrun, flag_sanction_overrun FROM rule""",
-        "rule",
-    ),
+    "stream_ingest": _JOB,
+    "batch_job": _JOB,
     "prebuilt_sources": """
 SELECT vec_id, len(embedding) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 3) AS length
 FROM embeddings""",

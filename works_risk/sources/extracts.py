@@ -37,6 +37,8 @@ CATEGORY = ("Work category", "Work Category")
 RECOMMENDED_AMOUNT = ("RECOMMENDED AMOUNT   ( ₹ )", "Recommended Amount")
 
 ORDINAL = "_ordinal"
+# A folder of extracts may hold one folder per delivery, whose names sort in order of arrival.
+DELIVERY = "delivery="
 
 
 @dataclass(frozen=True)
@@ -68,18 +70,32 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False, tolerant:
     return rows.select("*", place.alias(ORDINAL))
 
 
+def deliveries(spark: SparkSession, folder: str) -> list[str]:
+    """Folders to look for files in, newest first: ``delivery=<id>`` by descending id, then ``folder`` itself."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{DELIVERY}*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = sorted((status.getPath().getName() for status in found), reverse=True)
+    return [*[f"{folder}/{name}" for name in names], folder]
+
+
 def read_extracts(
     spark: SparkSession, folder: str, chamber: str = "ls", multi_line: bool = False, tolerant: bool = False
 ) -> Extracts:
-    """Read every role that has a file; at least one work-bearing file must be there."""
+    """Read every role that has a file; at least one work-bearing file must be there.
+
+    A later delivery may bring some files again under their names: of each role the newest delivery that has it counts.
+    """
     names = FILES | (UPPER_HOUSE_FILES if chamber == "rs" else {})
+    places = deliveries(spark, folder)
     tables = {}
     for role, name in names.items():
-        try:
-            tables[role] = read_csv(spark, f"{folder}/{name}", multi_line, tolerant)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        for place in places:
+            try:
+                tables[role] = read_csv(spark, f"{place}/{name}", multi_line, tolerant)
+                break
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
     if not any(role in tables for role in WORK_ROLES):
         raise ValueError(f"no extract with work ids in {folder}")
     return Extracts(tables)

@@ -19,22 +19,30 @@ def recompute_on_arrival(
     checkpoint: str,
     params: Params,
     embed_many: EmbedMany | None = hashed_trigrams,
-    dossier_limit: int | None = 50,
+    dossier_limit: int | None = None,
     after: Callable[[DataFrame, int], None] | None = None,
+    multi_line: bool = False,
+    tolerant: bool = False,
 ) -> StreamingQuery:
-    """Watch ``folder`` for extract files; each batch of arrivals recomputes all tables under ``out/run=<batch>``.
+    """Watch ``folder`` for deliveries; each batch of arrivals recomputes all tables under ``out/run=<batch>``.
 
-    The stream carries file arrivals only. The job reads the extracts itself, so a repeated batch gives the same
-    tables in the same place.
+    Extracts have fixed names, so every delivery comes in a folder of its own, ``delivery=<id>``: a file that is sent again is a
+    new path and starts a run, in which the newest file of each role counts. The stream carries names and sizes of files, not
+    their contents. The job reads the extracts itself, so a repeated batch gives the same tables in the same place.
     """
     arrivals = (
-        spark.readStream.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+        spark.readStream.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .load(folder)
+        .select("path", "length")
     )
 
     def run(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        result = run_extracts(spark, folder, f"{out}/run={number}", params, embed_many, dossier_limit)
+        result = run_extracts(spark, folder, f"{out}/run={number}", params, embed_many, dossier_limit, None, multi_line, tolerant)
         if after is not None:
             after(result.flags, number)
 
