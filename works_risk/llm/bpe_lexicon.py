@@ -17,7 +17,6 @@ import heapq
 import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -352,19 +351,9 @@ def ship(docs: DataFrame, lexicon: Lexicon) -> str:
     return name
 
 
-@lru_cache(maxsize=2)
-def _bpe(path: str) -> Bpe:
-    return Bpe(path)
-
-
-@lru_cache(maxsize=2)
-def _encoder(name: str, path: str, pattern: str) -> LexiconEncoder:
-    return LexiconEncoder(_bpe(path), Lexicon.mapped(SparkFiles.get(name)), pattern)
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, path: str, pattern: str, text: str) -> Iterator[pa.RecordBatch]:
     """The batches with ``ids`` in place of the text, in slices of bounded size."""
-    own = _encoder(name, path, pattern)
+    own = LexiconEncoder(Bpe(path), Lexicon.mapped(SparkFiles.get(name)), pattern)  # freed with the task
     for batch in batches:
         for part in text_slices(batch, text, SLICE_BYTES):
             ids, offsets = own.encode(part.column(text))
@@ -374,7 +363,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], name: str, path: str, pattern: s
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, to: str) -> Iterator[pa.RecordBatch]:
     """The batches with the text of their ``ids``, as UTF-8 bytes in the column ``to``."""
-    bpe = _bpe(path)
+    bpe = Bpe(path)
     for batch in batches:
         for part in text_slices(batch, "ids", 2 * SLICE_BYTES):
             flat, at = flat_values(part.column("ids"), "<u4")

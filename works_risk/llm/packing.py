@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from works_risk.llm.tokens import SLICE_BYTES, binary_rows, ids_of, sentence_ends, with_end
+from works_risk.llm.tokens import SLICE_BYTES, Encoder, binary_rows, sentence_ends, with_end
 from works_risk.llm.words import text_slices
 
 CHUNK = 1 << 19
@@ -146,11 +145,6 @@ class _Stream:
         return out
 
 
-@lru_cache(maxsize=2)
-def _ends(path: str) -> np.ndarray:
-    return sentence_ends(path)
-
-
 def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, and ids as binary.
 
@@ -164,7 +158,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
     schema = f"doc_id {id_type.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(_ends(path), params)
+        stream, encoder = _Stream(sentence_ends(path), params), Encoder(path)  # freed with the task
         base = TaskContext.get().partitionId() << _PART_BITS
         kind = None
 
@@ -178,7 +172,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
         for batch in batches:
             kind = batch.column("doc_id").type
             for part in text_slices(batch, "text", SLICE_BYTES):
-                ids, offsets = with_end(*ids_of(part.column("text"), path), params.end)
+                ids, offsets = with_end(*encoder.encode(part.column("text")), params.end)
                 stream.add(part.column("doc_id").to_pylist(), ids, offsets)
                 if stream.n >= CHUNK:
                     yield from rows(False)

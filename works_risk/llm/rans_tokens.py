@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from works_risk.llm.files import open_input, open_output
-from works_risk.llm.tokens import SLICE_BYTES, binary_rows, flat_values, ids_of, with_end
+from works_risk.llm.tokens import SLICE_BYTES, binary_rows, flat_values, with_end, worker_encoder
 from works_risk.llm.words import text_slices
 from works_risk.session import scratch
 
@@ -38,7 +38,7 @@ MAGIC = b"RANS-IDS-1\n"
 LANES, STRIDE, BLOCK_ROWS = 32, 512, 2048
 BLOCK = LANES * BLOCK_ROWS
 #: Full blocks that are coded together.
-GROUP = 16
+GROUP = 32
 SCALE = 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -258,9 +258,10 @@ class Written:
 
 def _tokenise(path: str, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(path)
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
-                ids, offsets = with_end(*ids_of(part.column("text"), path), end)
+                ids, offsets = with_end(*encoder.encode(part.column("text")), end)
                 rows = binary_rows(ids.astype(kind), offsets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows], ["doc_id", "ids"])
 

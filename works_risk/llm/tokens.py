@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -19,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together. More bytes repeat more pieces.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 6_000_000
 #: Pieces a worker keeps with their ids, to encode them once.
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 400_000
 
 
 @dataclass
@@ -152,9 +151,9 @@ class Encoder(PieceEncoder):
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """An encoder that a Python worker keeps between its tasks, with the pieces it has met."""
     return Encoder(path)
 
 
@@ -181,11 +180,6 @@ def sentence_ends(path: str, marks: str = ".!?\n") -> np.ndarray:
     return out
 
 
-def ids_of(part: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and offsets of texts by the worker's encoder."""
-    return encoder(path).encode(part)
-
-
 def binary_rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """One binary row for each run of ``values``."""
     bytes_at = (np.asarray(offsets, np.int64) * values.itemsize).astype(np.int32)
