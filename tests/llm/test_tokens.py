@@ -158,7 +158,7 @@ def test_packing_cuts_are_the_cheapest():
                 size = int(at[j] - at[i])
                 if size <= length:
                     best[j] = min(best[j], best[i] + (0 if size & (size - 1) == 0 else length - size) + int(penalty[j]) + window)
-        assert _price(packing.best_cuts(at, penalty, length, window), at, penalty, length, window) == best[-1]
+        assert _price(packing.best_cuts(at, penalty, length, window, 1), at, penalty, length, window) == best[-1]
 
 
 @pytest.mark.parametrize("chunk", [700, 1 << 19])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.llm.tokens import SLICE_BYTES, Encoder, binary_rows, sentence_ends, with_end
-from works_risk.llm.words import text_slices
+from works_risk.llm.words import long_text_batches, text_slices
 
 CHUNK = 1 << 19
 _PART_BITS = 33
@@ -44,6 +44,8 @@ class Params:
     gap: int = 64
     #: In ids: the price of a window, so that a stretch is not cut into many short powers of two.
     window_price: int = 8
+    #: Shorter powers of two are not tried as windows of their own.
+    least_power: int = 128
 
 
 def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +62,21 @@ def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params)
     return at, penalty
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, window_price: int = 0) -> np.ndarray:
-    """The cut positions, first and last included, of the cheapest way to cut the candidates into windows."""
+def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, window_price: int = 0, least_power: int = 1) -> np.ndarray:
+    """The cut positions, first and last included, of the cheapest way to cut the candidates into windows.
+
+    Windows of a power of two from ``least_power`` on are tried as unpadded ones.
+    """
     exact: dict[int, list[int]] = {}
-    size = 1
-    while size <= length:
+    size = least_power
+    while size < length:
         found = np.minimum(np.searchsorted(at, at - size), len(at) - 1)
-        for j in np.flatnonzero(at[found] == at - size):
-            exact.setdefault(int(j), []).append(int(found[j]))
+        hits = np.flatnonzero(at[found] == at - size)
+        for j, i in zip(hits.tolist(), found[hits].tolist(), strict=True):
+            if j in exact:
+                exact[j].append(i)
+            else:
+                exact[j] = [i]
         size *= 2
     place, price = at.tolist(), penalty.tolist()
     cost, came = [0] * len(place), [0] * len(place)
@@ -118,7 +127,7 @@ class _Stream:
         total = np.array([t for _, _, t in self.docs], np.int64)
         doc_ends = np.cumsum(total - gone)
         sentence_cuts = np.flatnonzero(self.ends_sentence[ids]) + 1
-        cuts = best_cuts(*candidates(doc_ends, sentence_cuts, self.params), self.params.length, self.params.window_price)
+        cuts = best_cuts(*candidates(doc_ends, sentence_cuts, self.params), self.params.length, self.params.window_price, self.params.least_power)
         if not last:
             cuts = cuts[: max(1, len(cuts) - 2)]
         stop = int(cuts[-1])
@@ -150,6 +159,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
 
     ``sequence_id`` holds the partition in its upper bits and counts windows from 0 in its lower 33.
     """
+    long_text_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

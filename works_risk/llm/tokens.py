@@ -11,7 +11,7 @@ import json
 import os
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,13 @@ SLICE_BYTES = 6_000_000
 KNOWN_PIECES = 400_000
 
 
+#: Letters of Latin alphabets and one mark, which is a token by itself.
+_MARKS = ".,"
+_MARKED = "^[A-Za-zÀ-ÖØ-öø-ſ]+[.,]$"
+#: Nothing, or white space first.
+_LOOSE = "^(?:$|[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}])"
+
+
 @dataclass
 class Pieces:
     """Distinct pieces, the piece number at every position, and the first position of each text (one more at the end).
@@ -30,9 +37,8 @@ class Pieces:
     ``spaced`` are written without the space they start with and come first in number, then ``others``.
     """
 
-    spaced: list[str]
+    spaced: pa.Array
     others: list[str]
-    spaced_bytes: np.ndarray
     at: np.ndarray
     offsets: np.ndarray
 
@@ -42,11 +48,11 @@ def pieces_of(texts: pa.Array) -> Pieces:
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     lists = pc.split_pattern(texts, " ")
     coded = lists.values.dictionary_encode()
-    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    size = pc.binary_length(coded.dictionary).to_numpy()
+    words, at = coded.dictionary, coded.indices.to_numpy()
     offsets = lists.offsets.to_numpy()
     n, start = len(words), offsets[:-1]
-    loose = np.fromiter((w[:1].isspace() or not w for w in words), bool, n)
+    size = pc.binary_length(words).to_numpy()
+    loose = pc.match_substring_regex(words, _LOOSE).to_numpy(zero_copy_only=False)
     flagged = loose[at]
     flagged[start] = False
     number = at.copy()
@@ -63,9 +69,8 @@ def pieces_of(texts: pa.Array) -> Pieces:
     used = np.zeros(2 * n + len(whole), bool)
     used[number] = True
     renumber = np.cumsum(used) - 1
-    inner = used[:n]
-    others = [words[k] for k in np.flatnonzero(used[n : 2 * n])] + [texts[int(k)].as_py() for k in whole]
-    return Pieces([w for w, u in zip(words, inner) if u], others, size[inner], renumber[number], before[offsets])
+    others = words.take(pa.array(np.flatnonzero(used[n : 2 * n]))).to_pylist() + [texts[int(k)].as_py() for k in whole]
+    return Pieces(words.filter(pa.array(used[:n])), others, renumber[number], before[offsets])
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -93,15 +98,29 @@ class PieceEncoder:
         raise NotImplementedError
 
     def _spaced(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """A mark after letters is a pre-token of its own, so a word is encoded once, with and without it."""
+        marked = pc.match_substring_regex(pieces.spaced, _MARKED)
+        coded = pc.if_else(marked, pc.utf8_rtrim(pieces.spaced, _MARKS), pieces.spaced).dictionary_encode()
+        at, has = coded.indices.to_numpy(), marked.to_numpy(zero_copy_only=False)
+        flat, lengths = self._words(coded.dictionary.to_pylist(), pc.binary_length(coded.dictionary).to_numpy())
+        both = ragged_take(flat, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        if not has.any():
+            return both, lengths[at]
+        is_last = pc.equal(pc.utf8_slice_codeunits(pieces.spaced.filter(marked), -1), _MARKS[1])
+        marks, _ = self.other_ids(list(_MARKS))
+        own = marks[is_last.to_numpy(zero_copy_only=False).astype(np.int64)]
+        return np.insert(both, np.cumsum(lengths[at])[has], own), lengths[at] + has
+
+    def _words(self, spaced: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        slot = np.fromiter((known.get(w, -1) for w in pieces.spaced), np.int64, len(pieces.spaced))
+        slot = np.fromiter(map(known.get, spaced, repeat(-1)), np.int64, len(spaced))
         old, new = slot >= 0, np.flatnonzero(slot < 0)
         starts, lengths = np.zeros((2, len(slot)), np.int64)
         starts[old], lengths[old] = self.known_starts[slot[old]], self.known_lengths[slot[old]]
         flat = self.known_ids
         if len(new):
-            fresh = [pieces.spaced[k] for k in new]
-            ids, lengths[new] = self.spaced_ids(fresh, pieces.spaced_bytes[new])
+            fresh = [spaced[k] for k in new]
+            ids, lengths[new] = self.spaced_ids(fresh, sizes[new])
             starts[new] = len(flat) + np.cumsum(lengths[new]) - lengths[new]
             flat = np.concatenate([flat, ids])
             if len(known) + len(new) <= KNOWN_PIECES:
