@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from works_risk.llm.files import write_bytes
 from works_risk.llm.tokens import SLICE_BYTES, PieceEncoder, binary_rows, byte_alphabet, flat_values, ragged_take
-from works_risk.llm.words import text_slices
+from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch, shared_dir
 
 LEXICON_WORDS = 60_000
@@ -344,6 +344,7 @@ def build(docs: DataFrame, path: str, pattern: str, most: int = LEXICON_WORDS, t
 def ship(docs: DataFrame, lexicon: Lexicon) -> str:
     """Write the lexicon below the shared folder and let Spark send it to every executor; returns the file's name."""
     spark = docs.sparkSession
+    long_text_batches(spark)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     where = f"{shared_dir(spark)}/{name}"
     write_bytes(spark, where, lexicon.tobytes())

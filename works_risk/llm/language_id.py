@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from works_risk.llm.words import bag_of, ngrams, per_document, text_slices
+from works_risk.llm.words import bag_of, long_text_batches, ngrams, per_document, text_slices
 
 UNDETERMINED = "und"
 OUTPUT = ("lang_pred", "score")
@@ -85,6 +85,7 @@ def _bucket_counts(params: Params):
 
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Learn from the columns doc_id, text and lang. Rows without a language or a text are left out."""
+    long_text_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, params.max_docs).select("text", "lang")
     counted = sample.mapInArrow(_bucket_counts(params), "lang string, bucket long, n double")
@@ -118,6 +119,7 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
+    long_text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in OUTPUT]
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")

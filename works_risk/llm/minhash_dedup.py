@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from works_risk.llm.components import Forest, components
 from works_risk.llm.lookup import attach
 from works_risk.llm.tiles import KEYS, byte_matrix, byte_rows, forest_links, meet, run_edges, runs, tiled, written
-from works_risk.llm.words import bag_of, text_slices
+from works_risk.llm.words import bag_of, long_text_batches, text_slices
 
 SLICE_BYTES = 3_000_000
 OUTPUT = ("class_id", "class_size", "kept")
@@ -253,6 +253,7 @@ def digest(text: Column) -> Column:
 
 def links(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, digest, doc_id of their first row, n_copies) and the (node, component) of linked nodes."""
+    long_text_batches(docs.sparkSession)
     source = docs.select("doc_id", "text").withColumn("digest", digest(F.col("text"))).filter(F.col("digest").isNotNull())
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = source.mapInArrow(_sign(params), f"doc_id {id_type}, digest binary, sig binary, keys array<long>")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from works_risk.llm.files import open_input, open_output
 from works_risk.llm.tokens import SLICE_BYTES, binary_rows, flat_values, with_end, worker_encoder
-from works_risk.llm.words import text_slices
+from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch
 
 MAGIC = b"RANS-IDS-1\n"
@@ -306,6 +306,7 @@ def write(docs: DataFrame, path: str, vocab: int, end: int = 0) -> Written:
     executor. ``vocab`` bounds the table.
     """
     spark = docs.sparkSession
+    long_text_batches(spark)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()

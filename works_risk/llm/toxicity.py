@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from works_risk.llm.language_id import bounded_sample
-from works_risk.llm.words import Bag, bag_of, ngrams, text_slices
+from works_risk.llm.words import Bag, bag_of, long_text_batches, ngrams, text_slices
 
 OUTPUT = ("score", "predicted")
 _EDGE = ".,;:!?\"'()[]{}<>|…«»„“”‚‘’"
@@ -61,7 +61,8 @@ class Model:
 
 
 def _word_grams(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray]:
-    return ngrams([w.strip(_EDGE) or "_" for w in words], params.low, params.high, params.bits, False)
+    bucket, word = ngrams([w.strip(_EDGE) or "_" for w in words], params.low, params.high, params.bits, False)
+    return bucket.astype(np.int32), word.astype(np.int32)
 
 
 def _spread(every: np.ndarray, known: np.ndarray, n_words: int) -> np.ndarray:
@@ -110,14 +111,18 @@ class _Means:
 
     def __init__(self, group: np.ndarray, item: np.ndarray, n_groups: int, n_items: int, size: np.ndarray):
         self.share = (1 / np.maximum(size, 1)).astype(np.float32)
-        order = np.argsort(group, kind="stable")
-        self.items, groups = item[order], group[order]
-        self.group_ids, self.group_starts = np.unique(groups, return_index=True)
-        back = np.argsort(item, kind="stable")
-        self.groups, items = group[back], item[back]
-        self.item_ids, self.item_starts = np.unique(items, return_index=True)
+        self.items, self.group_ids, self.group_starts = self._runs(group, item)
+        self.groups, self.item_ids, self.item_starts = self._runs(item, group)
         self.shape = n_groups, n_items
 
+    @staticmethod
+    def _runs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values in the order of their key, the keys there are, and where each one's run begins."""
+        order = np.argsort(key, kind="stable")
+        value, key = value[order].astype(np.int32), key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return value, key[starts], starts
+
     def forward(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.shape[0], rows.shape[1]), np.float32)
         out[self.group_ids] = _sum_runs(rows[self.items], self.group_starts)
@@ -236,6 +241,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
+    long_text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in OUTPUT]
     schema = T.StructType([docs.schema[c] for c in kept]).add("score", "double").add("predicted", "integer")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from works_risk.llm.files import open_input, open_output
 from works_risk.llm.lookup import attach
-from works_risk.llm.words import text_slices
+from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch
 
 SKIPPABLE = 0x184D2A5D
@@ -239,6 +239,7 @@ def _write(folder: str, dictionary, params: Params):
 def write(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives below the shared folder; returns the manifest (path, n_records)."""
     spark = pages.sparkSession
+    long_text_batches(spark)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     hashed = source.withColumn("sha1", F.sha1(body)).withColumn("size", F.octet_length(body))

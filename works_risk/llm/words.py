@@ -13,8 +13,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2_500_000
+BATCH_ROWS = 2_000
+
+
+def long_text_batches(spark: SparkSession) -> None:
+    """Hand Python fewer rows at a time than Spark's default, where the session keeps that default: texts are long, and a batch
+    is held on both sides."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
