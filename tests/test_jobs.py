@@ -41,6 +41,8 @@ def test_whole_job_and_reload(spark, raw, tmp_path):
     risks = [r["risk_score"] for r in spark.read.parquet(f"{out}/flags").collect()]
     assert risks == sorted(risks, reverse=True)
     sinks.write_dossier_files(written, f"{out}/files")
+    one = written.first()
+    assert (tmp_path / "out/files/works" / one["file_name"]).read_text() == one["dossier_md"]
     index = [r["value"] for r in spark.read.text(f"{out}/files/index").collect()]
     assert index[0] == f"# Flagged-work dossiers ({written.count()})"
     master = tables.read_master(spark, f"{out}/master")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from works_risk.functions.scalars import amount_bucket
 from works_risk.functions.texts import length_bound, match_ratio, ratio_at_least
 from works_risk.functions.vectors import clipped_cosine
-from works_risk.session import spread
+from works_risk.operators.lookup import attach
+from works_risk.session import settle, spread
 
 SMALL_ROWS = 64
 SALTS = 64
@@ -40,8 +41,9 @@ def block_sizes(rows: DataFrame) -> DataFrame:
 
 
 def in_shared_blocks(rows: DataFrame) -> DataFrame:
-    """Rows whose block has at least two rows, with that count."""
-    return rows.join(block_sizes(rows).filter(F.col("block_rows") >= 2), "block")
+    """Rows whose block has at least two rows, with that count. A block that holds many rows is spread."""
+    sizes = settle(block_sizes(rows).filter(F.col("block_rows") >= 2).withColumn("n", F.col("block_rows")))
+    return attach(rows, sizes, "block", F.xxhash64(*rows.columns)).filter(F.col("block_rows").isNotNull())
 
 
 def split_blocks(points: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from works_risk.functions.cleaning import has_long_text, has_text
 from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams, norm, with_unit
 from works_risk.operators.blocking import block_key, shared_points, similar_items
+from works_risk.operators.lookup import attach
 from works_risk.operators.ordering import top_rows
 from works_risk.params import MIN_TEXT_CHARS, Params
 from works_risk.session import settle, spread
@@ -89,20 +90,20 @@ def folded_signals(members: DataFrame, links: DataFrame) -> DataFrame:
         F.sum("own").alias("all_own"),
         F.max("sim_in_year").alias("sim_max"),
     )
-    shared = by_year.select("block", "item", "fy", "in_year").join(whole, ["block", "item"])
+    shared = by_year.select("block", "item", "fy", "in_year", "own").join(whole, ["block", "item"])
     partners = F.col("all_works") - 1
     best = F.when(F.col("all_own") > 1, F.lit(1.0)).otherwise(F.col("sim_max"))
+    key = F.concat_ws("|", "block", "item", "fy")
     per_text = shared.filter(partners > 0).select(
-        "block",
-        "item",
-        "fy",
+        key.alias("_text"),
         partners.alias("dup_partner_count"),
         best.alias("dup_partner_sim_max"),
         (F.col("all_works") - F.col("in_year")).alias("dup_partner_cross_fy"),
+        F.coalesce("own", F.lit(1)).alias("n"),
     )
-    return members.join(per_text, ["block", "item", "fy"]).select(
-        "work_id", "dup_partner_count", "dup_partner_sim_max", "dup_partner_cross_fy"
-    )
+    # All copies of one text ask for one row, so that key may hold any share of the works.
+    found = attach(members.select("work_id", key.alias("_text")), settle(per_text), "_text", F.col("work_id"))
+    return found.filter(F.col("dup_partner_count").isNotNull()).drop("_text")
 
 
 def lead(params: Params) -> Column:

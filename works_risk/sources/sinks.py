@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.operators.aggregate import rank_order
 from works_risk.operators.search import risk_order
+from works_risk.sources.files import open_output
 
 
 def write_flags(flags: DataFrame, path: str, csv_path: str | None = None) -> None:
@@ -40,12 +44,20 @@ def write_dossiers(dossiers: DataFrame, path: str) -> None:
 
 
 def write_dossier_files(dossiers: DataFrame, folder: str) -> None:
-    """One folder of text per work plus an index, for a limited number of dossiers.
+    """``works/<name>.md`` for each work plus an index, for a limited number of dossiers.
 
-    For all works use ``write_dossiers``: one file per work would swamp the file system.
+    Tasks write the files, each under its final name and with the same content however often it runs. For all works use
+    ``write_dossiers``: one file per work would swamp the file system.
     """
-    text = dossiers.select(F.regexp_replace("file_name", r"\.md$", "").alias("work"), F.col("dossier_md").alias("value"))
-    text.write.mode("overwrite").option("lineSep", "\n").partitionBy("work").text(f"{folder}/works")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, text in zip(batch["file_name"], batch["dossier_md"], strict=True):
+                with open_output(f"{folder}/works/{name}") as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    dossiers.select("file_name", "dossier_md").mapInPandas(write, "files bigint").agg(F.sum("files")).collect()
     count = dossiers.count()
     header = dossiers.sparkSession.createDataFrame([(-1, f"# Flagged-work dossiers ({count})\n")], "at int, value string")
     lines = dossiers.select((F.lit(100) - F.col("risk_score")).alias("at"), "work_id", F.col("index_line").alias("value"))
