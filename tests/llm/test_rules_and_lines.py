@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from works_risk.llm import line_dedup, lookup, quality_rules
+from works_risk.llm import line_dedup, quality_rules
+from works_risk.operators import lookup
 
 
 def _docs(spark, rows, extra=""):

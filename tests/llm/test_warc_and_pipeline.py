@@ -10,7 +10,8 @@ import zstandard
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from works_risk.llm import files, warc
+from works_risk.llm import warc
+from works_risk.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 

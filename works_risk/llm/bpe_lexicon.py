@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from works_risk.llm.files import write_bytes
+from works_risk.sources.files import write_bytes
 from works_risk.llm.tokens import SLICE_BYTES, PieceEncoder, binary_rows, byte_alphabet, flat_values, ragged_take
 from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch, shared_dir

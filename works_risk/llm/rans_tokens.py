@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from works_risk.llm.files import open_input, open_output
+from works_risk.sources.files import open_input, open_output
 from works_risk.llm.tokens import SLICE_BYTES, binary_rows, flat_values, with_end, worker_encoder
 from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch

@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from works_risk.llm.files import open_input, open_output
-from works_risk.llm.lookup import attach
+from works_risk.sources.files import open_input, open_output
+from works_risk.operators.lookup import attach
 from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch
 
