@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.scalars import amount_bucket
-from works_risk.functions.texts import length_bound, match_ratio, ratio_at_least
+from works_risk.functions.texts import character_bound, histograms, length_bound, match_ratio, ratios_at_least
 from works_risk.functions.vectors import clipped_cosine
 from works_risk.operators.lookup import attach
 from works_risk.session import settle, spread
@@ -178,16 +178,17 @@ def similar_texts(
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(group)
+        rows = left if same else pd.concat([left, right])
+        side = np.zeros(len(rows)) if same else np.repeat([0, 1], [len(left), len(right)])
+        ids, items, texts = rows["first_id"].to_numpy(), rows["item"].to_numpy(), rows["norm"].tolist()
+        counts, sizes = histograms(texts)
         found = []
-        rights = list(zip(right["first_id"], right["item"], right["norm"]))
-        for x in zip(left["first_id"], left["item"], left["norm"]):
-            for y in rights:
-                if same and not x[0] < y[0]:
-                    continue
-                a, b = (x, y) if x[0] < y[0] else (y, x)
-                value = ratio_at_least(a[2], b[2], floor)
+        for k, text in enumerate(texts):  # the second of its pairs: the first ones have lower ids
+            lower = np.flatnonzero((ids < ids[k]) & ((side != side[k]) | same))
+            lower = lower[character_bound(counts[lower], counts[k], sizes[lower], sizes[k]) >= floor]
+            for j, value in zip(lower, ratios_at_least([texts[j] for j in lower], text, floor), strict=True):
                 if value is not None:
-                    found.append((group["block"].iat[0], a[1], b[1], value))
+                    found.append((group["block"].iat[0], items[j], items[k], value))
         return pd.DataFrame(found, columns=["block", "item_a", "item_b", "ratio"])
 
     types = dict(points.dtypes)

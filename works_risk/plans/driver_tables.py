@@ -22,6 +22,7 @@ from works_risk.plans.master import assemble, identified, with_limits
 
 PARAMS = Params(ref_date=dt.date(2002, 1, 1), stall_before=dt.date(1999, 1, 1))
 CONSENT_NATION = 0
+OUTLIER_EVERY, OUTLIER_AT = 20, 3
 
 
 @lru_cache(maxsize=None)
@@ -155,9 +156,14 @@ def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
 
 
 def flags(spark: SparkSession, sf: str, params: Params = PARAMS, scores: DataFrame | None = None) -> DataFrame:
-    """Flags of all works; without ``scores`` no work is an outlier."""
+    """Flags of all works; without ``scores`` every twentieth order number stands for an outlier, so that SQL can follow."""
     signalled = with_signals(works(spark, sf, params), signals(spark, sf, params))
-    return judged(with_outliers(signalled, scores), params)
+    if scores is None:
+        odd = F.col("work_no").cast("bigint") % OUTLIER_EVERY == OUTLIER_AT
+        scored = signalled.withColumns({"anomaly_score": odd.cast("double"), "is_anomaly": odd})
+    else:
+        scored = with_outliers(signalled, scores)
+    return judged(scored, params)
 
 
 def vectors(spark: SparkSession, sf: str, rooted: bool = False) -> DataFrame:

