@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from works_risk.llm.tokens import SLICE_BYTES, Encoder, binary_rows, sentence_ends, with_end
+from works_risk.llm.tokens import SLICE_BYTES, binary_rows, sentence_ends, with_end, worker_encoder
 from works_risk.llm.words import long_text_batches, text_slices
 
 CHUNK = 1 << 19
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
     schema = f"doc_id {id_type.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, encoder = _Stream(sentence_ends(path), params), Encoder(path)  # freed with the task
+        stream, encoder = _Stream(sentence_ends(path), params), worker_encoder(path)
         base = TaskContext.get().partitionId() << _PART_BITS
         kind = None
 

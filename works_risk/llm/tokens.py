@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together. More bytes repeat more pieces.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 5_000_000
 #: Pieces a worker keeps with their ids, to encode them once.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
 
 
 #: Letters of Latin alphabets and one mark, which is a token by itself.
