@@ -170,7 +170,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 FROM b
 """
 
+_OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.y FROM reach JOIN link ON link.x = reach.b
+), n AS (
+  SELECT x, COUNT(*) AS n FROM link GROUP BY x
+), c AS (
+  SELECT a, MIN(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, COALESCE(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, g, COUNT(*) AS n FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)
+  GROUP BY doc_id, g
+), t AS (
+  SELECT doc_id, SUM(n) AS t FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, SUM(least(a.n, b.n)) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY x, y
+), l AS (
+  SELECT x, y FROM p JOIN t tx ON tx.doc_id = x JOIN t ty ON ty.doc_id = y WHERE CAST(c AS DOUBLE) / CAST(tx.t + ty.t - c AS DOUBLE) >= 0.8
+), link AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.y FROM reach JOIN link ON link.x = reach.b
+)
+SELECT a AS doc_id, MIN(b) AS class_id, COUNT(*) AS class_size, a = MIN(b) AS kept FROM reach GROUP BY a
+"""
+
+_OP7 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, MAX(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(sha1(body), CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT)
+      >> CAST(5 * (3 - i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
+    "op5_embedding_dedup": _OP5,
+    "op6_minhash_dedup": _OP6,
+    "op7_warc": _OP7,
 }
