@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together. More bytes repeat more pieces.
 SLICE_BYTES = 5_000_000
-#: Pieces a worker keeps with their ids, to encode them once.
+#: Pieces a worker keeps with their ids, to encode them once, unless told otherwise.
 KNOWN_PIECES = 200_000
 
 
@@ -83,8 +83,9 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 class PieceEncoder:
     """Encodes texts piece by piece; a subclass says how pieces are encoded."""
 
-    def __init__(self):
-        #: Pieces met before, up to KNOWN_PIECES, with their ids.
+    def __init__(self, most_known: int = KNOWN_PIECES):
+        #: Pieces met before, up to ``most_known``, with their ids.
+        self.most_known = most_known
         self.known: dict[str, int] = {}
         self.known_ids = np.zeros(0, np.uint32)
         self.known_starts = self.known_lengths = np.zeros(0, np.int64)
@@ -123,7 +124,7 @@ class PieceEncoder:
             ids, lengths[new] = self.spaced_ids(fresh, sizes[new])
             starts[new] = len(flat) + np.cumsum(lengths[new]) - lengths[new]
             flat = np.concatenate([flat, ids])
-            if len(known) + len(new) <= KNOWN_PIECES:
+            if len(known) + len(new) <= self.most_known:
                 known.update(zip(fresh, range(len(known), len(known) + len(new))))
                 self.known_starts = np.concatenate([self.known_starts, starts[new]])
                 self.known_lengths = np.concatenate([self.known_lengths, lengths[new]])
@@ -144,8 +145,8 @@ class PieceEncoder:
 class Encoder(PieceEncoder):
     """Token ids by the ``tokenizers`` library for the vocabulary file at ``path``."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, most_known: int = KNOWN_PIECES):
+        super().__init__(most_known)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -171,9 +172,9 @@ class Encoder(PieceEncoder):
 
 
 @lru_cache(maxsize=1)
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, most_known: int = KNOWN_PIECES) -> Encoder:
     """An encoder that a Python worker keeps between its tasks, with the pieces it has met."""
-    return Encoder(path)
+    return Encoder(path, most_known)
 
 
 def byte_alphabet() -> list[str]:

@@ -20,12 +20,12 @@ SLICE_BYTES = 2_500_000
 BATCH_ROWS = 2_000
 
 
-def long_text_batches(spark: SparkSession) -> None:
+def long_text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand Python fewer rows at a time than Spark's default, where the session keeps that default: texts are long, and a batch
     is held on both sides."""
     name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(name, default) == default:
-        spark.conf.set(name, BATCH_ROWS)
+        spark.conf.set(name, rows)
 
 
 @cache
