@@ -52,6 +52,11 @@ def test_whole_job_and_reload(spark, raw, tmp_path):
     assert again.schema == MASTER and again.count() == 6
     none = detect_live(master, PARAMS, None).first()
     assert none["dup_source"] == "none"
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    assert detect_live(master, PARAMS, hashed_trigrams).first()["dup_source"] == "live"
+    assert detect_live(master, PARAMS, broken).first()["dup_source"] == "partial"
     listed = spark.createDataFrame([("tuned", 0.9, "MP9/2023-2024/5", "MP9/2023-2024/6")], "model string, similarity double, work_a string, work_b string")
     sinks.write_sweep(listed, f"{out}/sweep")
     done = job.run_master(master, tables.read_sweep(spark, f"{out}/sweep"), "tuned", f"{out}/second", PARAMS)

@@ -70,3 +70,13 @@ def test_quantiles_read_out_few_rows_however_many_tie(spark, monkeypatch, share)
     x = np.where(np.arange(n) <= n // 2, 0.0, np.arange(n))
     assert quantiles.exact_quantiles(df, {"x": share})["x"] == pytest.approx(np.quantile(x, share))
     assert all(sum(k for _, k in values) <= 100 for values in read[0])
+
+
+def test_spread_by_cores_or_by_size(spark, monkeypatch):
+    from works_risk import session
+
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS block")
+    assert session.spread(df, "block").rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 4)
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
+    rebalanced = session.spread(df, "block")
+    assert rebalanced.count() == 1000 and "REBALANCE" in rebalanced._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,22 @@ def hashed_trigrams(texts: list[str]) -> np.ndarray:
     return out
 
 
+def counting_failures(embed_many: EmbedMany, failed: Accumulator) -> EmbedMany:
+    """``embed_many`` that adds the texts of every batch that fails, or has too few vectors, to an accumulator."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        try:
+            got = np.atleast_2d(np.asarray(embed_many(texts), dtype=float))
+            if got.shape[0] != len(texts) or got.shape[1] < EMBED_DIM:
+                raise ValueError("one vector per text is needed")
+        except Exception:
+            failed.add(len(texts))
+            raise
+        return got
+
+    return run
+
+
 def one_by_one(embed_one: Callable[[str], list[float]]) -> EmbedMany:
     """Adapt a single-text embedder; a text that fails, or gives too few values, gets a zero vector."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from works_risk.functions.vectors import EmbedMany
+from works_risk.functions.vectors import EmbedMany, counting_failures
 from works_risk.operators.classify import add_pattern, add_route
 from works_risk.operators.duplicates import duplicate_signals, no_signals
 from works_risk.operators.features import build_features
@@ -44,7 +44,12 @@ def detect(
 def detect_live(master: DataFrame, params: Params, embed_many: EmbedMany | None) -> DataFrame:
     """As ``detect`` with duplicate signals computed here; without an embedder there are none.
 
-    ``dup_source`` records which of the two it was.
+    ``dup_source`` records which of the two it was: ``none`` or ``live``, and ``partial`` where the embedder failed on some
+    texts, which then match nothing. Embedding runs here, so the count of failures is known.
     """
-    signals = None if embed_many is None else duplicate_signals(master, params, embed_many)
-    return detect(master, params, signals).withColumn("dup_source", F.lit("none" if embed_many is None else "live"))
+    if embed_many is None:
+        return detect(master, params).withColumn("dup_source", F.lit("none"))
+    failed = master.sparkSession.sparkContext.accumulator(0)
+    signals = duplicate_signals(master, params, counting_failures(embed_many, failed))
+    source = "partial" if failed.value else "live"
+    return detect(master, params, signals).withColumn("dup_source", F.lit(source))

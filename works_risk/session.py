@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A task of a spread table should not get more than this by Spark's estimate.
+SPREAD_BYTES = 256 << 20
+
+
 def local_session(cores: str = "8", app: str = "works-risk") -> SparkSession:
     """A session for tests and the bench. On a cluster, pass your own session instead."""
     return ship(
@@ -63,12 +67,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores before a step that costs compute rather than bytes.
+    """Spread rows before a step that costs compute rather than bytes.
 
-    Adaptive execution sizes partitions by bytes, which would leave such a step to a few tasks.
+    Adaptive execution sizes partitions by bytes, which would leave a small table to a few tasks: it goes to all cores.
+    A table that fills them anyway is left to the advisory partition size, and its large partitions split.
     """
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > tasks * SPREAD_BYTES:
+        return df.hint("rebalance", *keys)
     return df.repartition(tasks, *keys)
 
 
