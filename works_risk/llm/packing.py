@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from works_risk.llm.tokens import SLICE_BYTES, binary_rows, sentence_ends, with_end, worker_encoder
-from works_risk.llm.words import long_text_batches, text_slices
+from works_risk.llm.tokens import SLICE_BYTES, Encoder, binary_rows, sentence_ends, with_end, worker_encoder
+from works_risk.llm.words import give_back_memory, long_text_batches, text_slices
 
 CHUNK = 1 << 19
 _PART_BITS = 33
@@ -154,10 +154,11 @@ class _Stream:
         return out
 
 
-def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
+def pack(docs: DataFrame, path: str, params: Params = Params(), keep_encoder: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, and ids as binary.
 
-    ``sequence_id`` holds the partition in its upper bits and counts windows from 0 in its lower 33.
+    ``sequence_id`` holds the partition in its upper bits and counts windows from 0 in its lower 33. ``keep_encoder`` lets a
+    worker keep its encoder and the pieces it knows for its next task; without it, later stages find that memory free.
     """
     long_text_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
     schema = f"doc_id {id_type.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, encoder = _Stream(sentence_ends(path), params), worker_encoder(path)
+        stream, encoder = _Stream(sentence_ends(path), params), worker_encoder(path) if keep_encoder else Encoder(path)
         base = TaskContext.get().partitionId() << _PART_BITS
         kind = None
 
@@ -187,5 +188,8 @@ def pack(docs: DataFrame, path: str, params: Params = Params()) -> DataFrame:
                 if stream.n >= CHUNK:
                     yield from rows(False)
         yield from rows(True)
+        del encoder
+        stream.ids = []
+        give_back_memory()
 
     return laid.mapInArrow(run, schema)
