@@ -344,7 +344,7 @@ def build(docs: DataFrame, path: str, pattern: str, most: int = LEXICON_WORDS, t
 def ship(docs: DataFrame, lexicon: Lexicon) -> str:
     """Write the lexicon below the shared folder and let Spark send it to every executor; returns the file's name."""
     spark = docs.sparkSession
-    long_text_batches(spark)
+    long_text_batches(spark, 2_000)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     where = f"{shared_dir(spark)}/{name}"
     write_bytes(spark, where, lexicon.tobytes())

@@ -160,7 +160,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params(), keep_encoder: bo
     ``sequence_id`` holds the partition in its upper bits and counts windows from 0 in its lower 33. ``keep_encoder`` lets a
     worker keep its encoder and the pieces it knows for its next task; without it, later stages find that memory free.
     """
-    long_text_batches(docs.sparkSession)
+    long_text_batches(docs.sparkSession, 2_000)
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

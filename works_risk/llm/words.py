@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2_500_000
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def long_text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
