@@ -41,7 +41,7 @@ BLOCK = LANES * BLOCK_ROWS
 GROUP = 32
 SCALE = 20
 #: Tokenising is all that its stage does, so its workers can keep more pieces.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 500_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK = np.uint64((1 << SCALE) - 1)
@@ -262,7 +262,7 @@ def _tokenise(path: str, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, KNOWN_PIECES)
         for batch in batches:
-            for part in text_slices(batch, "text", 2 * SLICE_BYTES):
+            for part in text_slices(batch, "text", 6 * SLICE_BYTES // 5):
                 ids, offsets = with_end(*encoder.encode(part.column("text")), end)
                 rows = binary_rows(ids.astype(kind), offsets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows], ["doc_id", "ids"])
@@ -308,7 +308,7 @@ def write(docs: DataFrame, path: str, vocab: int, end: int = 0) -> Written:
     executor. ``vocab`` bounds the table.
     """
     spark = docs.sparkSession
-    long_text_batches(spark, 4_000)
+    long_text_batches(spark, 2_000)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
