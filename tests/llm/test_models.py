@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from works_risk.llm import language_id, toxicity, words
 
@@ -141,3 +142,14 @@ def test_toxicity_gradient_falls(monkeypatch):
         p = np.clip(toxicity.score_texts(model, pa.array(texts)), 1e-6, 1 - 1e-6)
         loss.append(-np.log(np.where(labels == 1, p, 1 - p)).mean())
     assert loss[1] < 0.5 * loss[0]
+
+
+def test_toxicity_learns_from_few_labels_and_its_production_params(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    held_out = language_id.id_remainder(F.col("doc_id"), 3) == 1
+    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(rows.filter(~held_out))
+    got = toxicity.predict(rows.filter(held_out), model).toPandas()
+    right = (got.toxic == 1) & (got.predicted == 1)
+    assert (got.toxic == 1).sum() == 18
+    assert right.sum() >= 14 and ((got.toxic == 0) & (got.predicted == 1)).sum() <= 2

@@ -7,6 +7,9 @@ repeated word taking one slot and the others staying zero, and is scored by the
 toxic bag, so one insult in a long text is not averaged away. Training learns vectors and softmax together: bags of clean
 documents are clean, and of a toxic document first all bags, then its most toxic one, count as toxic.
 
+Only n-grams whose spread over the classes is no matter of chance are learned, each only to the side its evidence is on. This
+asks for more documents than one, but for no fixed number, so few labels suffice for a word that only toxic ones hold.
+
 Training uses at most ``max_docs`` labelled documents of each class (first by the hash of their id, the only bound) on the
 driver. The trained model folds to one number per n-gram bucket, is broadcast, and scores Arrow batches in numpy.
 
@@ -40,12 +43,14 @@ class Params:
     bits: int = 20
     dim: int = 2
     bag_words: int = 16
-    steps: int = 100
+    steps: int = 60
     warm_steps: int = 20
     rate: float = 20.0
-    decay: float = 0.01
-    #: An n-gram counts when at least this many training documents hold it.
-    min_docs: int = 6
+    decay: float = 0.03
+    #: An n-gram counts when at least this many training documents hold it,
+    min_docs: int = 2
+    #: and when its spread over the classes is at least this far from chance; about the standard deviations of a normal value.
+    least_evidence: float = 4.0
     threshold: float = 0.7
     #: Most labelled documents of each class to learn from.
     max_docs: int = 1_300
@@ -93,19 +98,33 @@ def _sum_runs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) if len(starts) else np.zeros((0, *values.shape[1:]), values.dtype)
 
 
-def _documents_with(bag: Bag, bucket: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """For each bucket, the number of documents that hold it; a few documents at a time, to bound the memory."""
+def _documents_with(bag: Bag, bucket: np.ndarray, word: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each bucket, the numbers of clean and of toxic documents that hold it; one document at a time, to bound the memory."""
     order = np.argsort(word, kind="stable")
     bucket, edges = bucket[order], np.searchsorted(word[order], np.arange(len(bag.words) + 1))
-    total = np.zeros(size, np.int32)
-    for start, stop in zip(bag.offsets[:-1], bag.offsets[1:]):
+    total = np.zeros((2, size), np.int32)
+    for start, stop, bad in zip(bag.offsets[:-1], bag.offsets[1:], toxic.astype(int)):
         own = np.unique(bag.at[start:stop])
         spans = edges[own + 1] - edges[own]
         flat = np.repeat(edges[own] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-        total[np.unique(bucket[flat])] += 1
+        total[bad, np.unique(bucket[flat])] += 1
     return total
 
 
+def _evidence(docs_with: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How far each bucket's spread over the classes is from an even one, in the measure of chance; above 0 on the toxic side.
+
+    This is the signed root of the likelihood ratio. It has no count of documents in it, so a bucket that 5 of 30 toxic
+    documents and no clean one hold tells as surely as one that 5 of 1,300 and no clean one hold.
+    """
+    total, shares = docs_with.sum(axis=0), np.array([(~toxic).mean(), toxic.mean()])
+    ratio = np.zeros(total.shape)
+    for held, share in zip(docs_with, shares):
+        there = held > 0
+        ratio[there] += 2 * held[there] * np.log(held[there] / (total[there] * share))
+    return np.sign(docs_with[1] - total * shares[1]) * np.sqrt(np.maximum(ratio, 0))
+
+
 class _Means:
     """The linear map that averages rows over groups, and its transpose."""
 
@@ -164,9 +183,11 @@ def train(texts: list[str | None], toxic: np.ndarray, params: Params = Params())
     n_bags, n_words = len(starts), len(bag.words)
     if not n_bags:
         return nothing
-    docs_with = _documents_with(bag, bucket, word, 1 << params.bits)
-    number = np.cumsum(docs_with >= params.min_docs) - 1
-    known = docs_with[bucket] >= params.min_docs
+    docs_with = _documents_with(bag, bucket, word, toxic, 1 << params.bits)
+    evidence = _evidence(docs_with, toxic)
+    told = (np.abs(evidence) >= params.least_evidence) & (docs_with.sum(axis=0) >= params.min_docs)
+    number = np.cumsum(told) - 1
+    known = told[bucket]
     n_known = int(number[-1]) + 1
     if not n_known:
         return nothing
@@ -180,6 +201,7 @@ def train(texts: list[str | None], toxic: np.ndarray, params: Params = Params())
     n_bad, n_good = max(1, toxic[held].sum()), max(1, (~toxic[held]).sum())
     each = np.where(bad, 0, 0.5 / n_good) / np.diff(first)[owner]
 
+    side = np.sign(evidence[told])
     random = np.random.default_rng(params.seed)
     vectors = _Descent(random.normal(0, 0.1, (n_known, params.dim)).astype(np.float32), params.rate)
     softmax = _Descent(random.normal(0, 0.5, (params.dim, 2)).astype(np.float32), 0.05)
@@ -202,11 +224,15 @@ def train(texts: list[str | None], toxic: np.ndarray, params: Params = Params())
         grad = np.stack([-off, off], axis=1)
         vectors.take(to_word.backward(to_bag.backward(grad @ softmax.value.T)))
         vectors.value *= 1 - params.decay
+        # What was learned against an n-gram's own evidence only makes up for others of its word, and fails on other words.
+        across = softmax.value[:, 1] - softmax.value[:, 0]
+        margin = vectors.value @ across
+        against = margin * side < 0
+        vectors.value[against] -= np.outer(margin[against] / (across @ across), across)
         softmax.take(mean.T @ grad)
         bias.take(grad.sum(axis=0))
     weight = np.full(1 << params.bits, np.nan, np.float32)
-    margin = vectors.value @ (softmax.value[:, 1] - softmax.value[:, 0])
-    weight[docs_with >= params.min_docs] = margin
+    weight[told] = vectors.value @ (softmax.value[:, 1] - softmax.value[:, 0])
     return Model(weight, float(bias.value[1] - bias.value[0]), params)
 
 
