@@ -314,6 +314,12 @@ def pair_bands(spark, sf):
     return rounded(bands, 6, "ratio").select("block", "work_a", "work_b", "ratio", "kind", "pair_count")
 
 
+def document_pair_bands(spark, sf):
+    """The ratio matcher over whole texts of one language and source."""
+    bands = training.banded_pairs(training.claimed_points(D.document_claims(spark, sf)))
+    return rounded(bands, 6, "ratio").select("block", "work_a", "work_b", "ratio", "kind", "pair_count")
+
+
 def pair_set(spark, sf):
     built = training.pair_set(D.supplies(spark, sf), D.PARAMS)
     return built.select("split", "kind", "work_a", "work_b", F.md5("anchor_text").alias("anchor"), F.md5("other_text").alias("other"), "label")
@@ -577,6 +583,7 @@ CATALOG: dict[str, Query] = {
     "anchor_topn": anchor_topn,
     "embed": embed,
     "pair_bands": pair_bands,
+    "document_pair_bands": document_pair_bands,
     "pair_set": pair_set,
     "pair_counts": pair_counts,
     "token_jaccard": token_overlap,

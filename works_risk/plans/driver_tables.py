@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from works_risk.functions.cleaning import has_long_text
 from works_risk.functions.vectors import with_unit
 from works_risk.operators.blocking import block_key, in_shared_blocks
 from works_risk.operators.duplicates import duplicate_signals
-from works_risk.params import Params
+from works_risk.params import MIN_TEXT_CHARS, Params
 from works_risk.plans.detect import judged, with_outliers, with_signals
 from works_risk.plans.master import assemble, identified, with_limits
 
@@ -137,18 +138,25 @@ def claimants(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFram
 
 
 def supplies(spark: SparkSession, sf: str) -> DataFrame:
-    """Short descriptions in the wording of a works register, out of each order's lowest and highest part number."""
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("number")).agg(
-        F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")
-    )
-    item = F.format_string("%s (%s, %s)", "p_name", "p_brand", "p_type")
-    parts = table(spark, sf, "part").select("p_partkey", item.alias("item"))
-    named = lines.join(parts.select(F.col("p_partkey").alias("low"), F.col("item").alias("first_item")), "low").join(
-        parts.select(F.col("p_partkey").alias("high"), F.col("item").alias("last_item")), "high"
-    )
-    text = F.format_string("Supply of %s and %s at %s, %s", "first_item", "last_item", "constituency", "state")
-    works = order_works(spark, sf).join(named, "number").withColumn("work_desc", text)
-    return works.drop("low", "high", "first_item", "last_item")
+    """Descriptions in the wording of a works register, out of all lines of each order; an order without lines has none named."""
+    part = F.format_string("%s (%s, %s)", "p_name", "p_brand", "p_type")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), part.alias("part"))
+    named = table(spark, sf, "lineitem").join(parts, "l_partkey", "left")
+    # A line whose part is not known is named by its number.
+    line = F.struct("l_linenumber", F.coalesce("part", F.format_string("part %s", "l_partkey")).alias("part"))
+    items = named.groupBy(F.col("l_orderkey").alias("number")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    wording = items.select("number", F.concat(F.lit(" of "), F.array_join("lines.part", " and ")).alias("wording"))
+    place = F.format_string(" at %s, %s", "constituency", "state")
+    text = F.concat(F.lit("Supply"), F.coalesce("wording", F.lit("")), place)
+    return order_works(spark, sf).join(wording, "number", "left").withColumn("work_desc", text).drop("wording")
+
+
+def document_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as ``work_id, block, text, item``; those of one language and source can be compared."""
+    block = F.concat_ws("|", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    rows = table(spark, sf, "documents").filter(has_long_text(F.col("text"), MIN_TEXT_CHARS))
+    keyed = rows.select(F.col("doc_id").cast("string").alias("work_id"), block.alias("block"), F.trim("text").alias("text"))
+    return keyed.withColumn("item", F.sha2("text", 256))
 
 
 def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
