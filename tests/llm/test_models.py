@@ -153,3 +153,10 @@ def test_toxicity_learns_from_few_labels_and_its_production_params(spark):
     right = (got.toxic == 1) & (got.predicted == 1)
     assert (got.toxic == 1).sum() == 18
     assert right.sum() >= 14 and ((got.toxic == 0) & (got.predicted == 1)).sum() <= 2
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    rows = [(k % 3, f"text {k}", 1) for k in range(90)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = language_id.bounded_sample(labelled, 2).collect()
+    assert len(got) == 2 and sorted(got) == sorted(language_id.bounded_sample(labelled.repartition(7), 2).collect())

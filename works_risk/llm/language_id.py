@@ -51,14 +51,24 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def _first_ids(labelled: DataFrame, most: int, seed: int) -> DataFrame:
+    ids = labelled.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+
+
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that share their keys the one with the least hash, and of equal hashes the least; combined before any shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("__hash"), *rest)).alias("__row")
+    return rows.groupBy(*keys).agg(least).select(*[F.col("__row")[c].alias(c) if c in rest else F.col(c) for c in rows.columns])
+
+
 def bounded_sample(labelled: DataFrame, most: int, seed: int = 7) -> DataFrame:
     """At most ``most`` rows, the first by the hash of ``doc_id``: the same rows however the table is laid out.
 
-    Only ids are ordered; the rows are then fetched by a join with those ids, at most ``most`` of them.
+    Only ids are ordered; the rows are then fetched by a join with those ids, one row of each id.
     """
-    ids = labelled.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    few = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
-    return labelled.join(F.broadcast(few), "doc_id", "left_semi")
+    return one_row_each(labelled.join(F.broadcast(_first_ids(labelled, most, seed)), "doc_id", "left_semi"), ["doc_id"])
 
 
 def _bucket_counts(params: Params):

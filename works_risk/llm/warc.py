@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from works_risk.llm.language_id import one_row_each
 from works_risk.sources.files import open_input, open_output
 from works_risk.operators.lookup import attach
 from works_risk.llm.words import long_text_batches, text_slices
@@ -198,7 +199,8 @@ def train_dictionary(pages: DataFrame, params: Params) -> bytes | None:
     """A dictionary from at most ``dictionary_pages`` pages, or None where they are too few to train one."""
     ids = pages.select("page_id").filter(F.col("page_id").isNotNull()).distinct()
     few = ids.orderBy(F.xxhash64(F.lit(3), "page_id"), "page_id").limit(params.dictionary_pages)
-    rows = pages.join(F.broadcast(few), "page_id", "left_semi").select("page_id", "html").collect()
+    found = pages.join(F.broadcast(few), "page_id", "left_semi").select("page_id", "html")
+    rows = one_row_each(found, ["page_id"]).collect()
     samples = [(r["html"] or "").encode() for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or ""))]
     try:
         return zstandard.train_dictionary(params.dictionary_bytes, samples).as_bytes()
