@@ -155,6 +155,13 @@ def test_toxicity_learns_from_few_labels_and_its_production_params(spark):
     assert right.sum() >= 14 and ((got.toxic == 0) & (got.predicted == 1)).sum() <= 2
 
 
+def test_a_rare_language_is_in_the_bounded_sample(spark):
+    rows = [(k, "kura milo", "aa") for k in range(300)] + [(1000, "schwi pluht", "bb")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(labelled, language_id.Params(max_docs=4)).languages == ["aa", "bb"]
+    assert language_id.sample_by_language(labelled, 4).count() == 3
+
+
 def test_repeated_ids_do_not_widen_the_sample(spark):
     rows = [(k % 3, f"text {k}", 1) for k in range(90)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

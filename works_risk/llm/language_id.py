@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log probabilities (2**bits buckets by languages), counted by Spark over at most
-``max_docs`` labelled documents (chosen by the hash of their id, the only bound) and broadcast: its size is set by
+``max_docs`` labelled documents (an equal share of each language, by the hash of their id, the only bound) and broadcast: its size is set by
 ``bits`` and the number of languages, not by the data. Scoring runs in numpy on Arrow batches: each distinct word of a
 slice gets one row of log likelihoods, a document is the sum over its words.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,17 @@ def bounded_sample(labelled: DataFrame, most: int, seed: int = 7) -> DataFrame:
     return one_row_each(labelled.join(F.broadcast(_first_ids(labelled, most, seed)), "doc_id", "left_semi"), ["doc_id"])
 
 
+def sample_by_language(labelled: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` rows, an equal share for each language, so that a rare language is not lost among frequent ones."""
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    if not languages:
+        return labelled.limit(0)
+    share = max(1, most // len(languages))
+    parts = [_first_ids(labelled.filter(F.col("lang") == k), share, seed).withColumn("lang", F.lit(k)) for k in languages]
+    few = reduce(DataFrame.unionByName, parts)
+    return one_row_each(labelled.join(F.broadcast(few), ["doc_id", "lang"], "left_semi"), ["doc_id", "lang"])
+
+
 def _bucket_counts(params: Params):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -97,7 +109,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Learn from the columns doc_id, text and lang. Rows without a language or a text are left out."""
     long_text_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(rows, params.max_docs).select("text", "lang")
+    sample = sample_by_language(rows, params.max_docs).select("text", "lang")
     counted = sample.mapInArrow(_bucket_counts(params), "lang string, bucket long, n double")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
