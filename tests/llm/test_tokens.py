@@ -200,3 +200,9 @@ def test_packing_through_spark(spark, library):
         by_doc[row.doc_id] = by_doc.get(row.doc_id, []) + ids.tolist()
     assert by_doc == dict(_streams(library, rows))
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_long_pieces_stay_out_of_the_lexicon(spark):
+    rows = [(k, "short " + "é" * 33 + " " + "x" * 64) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(bpe_lexicon.frequent_pieces(docs, 100)) == ["short", "x" * 64]

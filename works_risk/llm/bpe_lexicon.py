@@ -31,6 +31,8 @@ from works_risk.llm.words import long_text_batches, text_slices
 from works_risk.session import scratch, shared_dir
 
 LEXICON_WORDS = 60_000
+#: Most bytes of a piece of the lexicon.
+LONGEST_PIECE = 64
 _NONE = np.int32(1 << 30)
 _WIDTHS = (4, 8, 16, 32, 64)
 
@@ -316,7 +318,9 @@ def frequent_pieces(docs: DataFrame, most: int, text: str = "text") -> list[str]
     tie beyond it are left out together.
     """
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w")).filter(F.col("w") != "")
+    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("w"))
+    # Longer ones, as whole texts without spaces, would fill the driver; they go through the exact merges.
+    words = words.filter((F.col("w") != "") & (F.octet_length("w") <= LONGEST_PIECE))
     stored = scratch(spark, "word-counts")
     words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).write.parquet(stored)
     counted = spark.read.parquet(stored)
