@@ -4,13 +4,14 @@ Five stages, each a function of (spark, docs, sf_dir) that returns a DataFrame;
 Parquet and hands the next one what it reads back. All but the last return the columns of the documents they got.
 
 1. toxicity      documents scored toxic go; the model learns from ``labels`` outside the held-out third
-2. language_id   documents in no language that the labelled ones have go
+2. language_id   documents without a letter and short ones undecided between the learned languages go
 3. line_dedup    repeated windows of three lines leave the texts; ``n_chars`` follows
 4. minhash       of each class of near copies one document stays
 5. packing       the rest becomes sequences of at most 1024 tokens, one row per piece
 
 A null or empty text passes 1 (an empty bag is not toxic), goes in 2 (it has no letter), and a text emptied by 3 stays as an
-empty document. An extra column passes through 1 to 4 whatever its name; an empty table stays empty.
+empty document. A long text in a language that was not learned gets the likeliest learned one and stays: the score compares
+learned languages only. An extra column passes through 1 to 4 whatever its name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from works_risk.llm import language_id, line_dedup, minhash_dedup, packing, toxi
 from works_risk.session import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A language counts as found from this posterior on.
+#: A language counts as found from this posterior on; only short texts stay below it.
 LEAST_POSTERIOR = 0.5
 
 
