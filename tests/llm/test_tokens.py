@@ -206,3 +206,11 @@ def test_long_pieces_stay_out_of_the_lexicon(spark):
     rows = [(k, "short " + "é" * 33 + " " + "x" * 64) for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(bpe_lexicon.frequent_pieces(docs, 100)) == ["short", "x" * 64]
+
+
+def test_packing_tries_every_power_of_two():
+    params = packing.Params()
+    at, penalty = packing.candidates(np.array([1024, 1088]), np.zeros(0, np.int64), params)
+    cuts = packing.best_cuts(at, penalty, params.length, params.window_price, params.least_power)
+    assert cuts.tolist() == [0, 1024, 1088]
+    assert params.least_power == 1

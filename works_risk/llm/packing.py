@@ -45,7 +45,7 @@ class Params:
     #: In ids: the price of a window, so that a stretch is not cut into many short powers of two.
     window_price: int = 8
     #: Shorter powers of two are not tried as windows of their own.
-    least_power: int = 128
+    least_power: int = 1
 
 
 def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
