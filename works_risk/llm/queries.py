@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from works_risk.llm import (
     bpe_lexicon,
     embedding_dedup,
+    filter_audit,
     language_id,
     line_dedup,
     minhash_dedup,
@@ -18,7 +19,9 @@ from works_risk.llm import (
     quality_rules,
     rans_tokens,
     toxicity,
+    url_rules,
     warc,
+    whitening,
 )
 
 
@@ -100,6 +103,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES)).drop("url")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_lexicon": op9_bpe_lexicon,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_url_rules": op12_url_rules,
+    "op13_whitening": op13_whitening,
 }
 
 _OP1 = r"""
@@ -223,10 +251,69 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes,
 FROM p
 """
 
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), f AS (
+  SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+       + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS INT)
+       + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+       + 16 * CAST(coalesce(doc_id > MIN(doc_id) OVER (PARTITION BY text), FALSE) AS INT) AS bits
+  FROM t
+), p AS (
+  SELECT part, bits, COUNT(*) AS n, COUNT(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+         COUNT(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM f GROUP BY part, bits
+), s AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+), o AS (
+  SELECT s1.x || s2.x || s3.x || s4.x || s5.x AS filter_order, [s1.b, s2.b, s3.b, s4.b, s5.b] AS b
+  FROM s s1 JOIN s s2 ON s2.x <> s1.x JOIN s s3 ON s3.x NOT IN (s1.x, s2.x) JOIN s s4 ON s4.x NOT IN (s1.x, s2.x, s3.x)
+       JOIN s s5 ON s5.x NOT IN (s1.x, s2.x, s3.x, s4.x)
+), e AS (
+  SELECT filter_order, step, b[step] AS bit, CAST(coalesce(list_sum(b[1:step - 1]), 0) AS INT) AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         SUM(n) FILTER ((bits & (bit | before)) = 0) AS kept, SUM(n) FILTER ((bits & bit) <> 0 AND (bits & before) = 0) AS removed,
+         SUM(n) FILTER ((bits & bit) <> 0 AND (bits & before) <> 0) AS redundant, SUM(n) FILTER (bits = bit) AS unique_fails,
+         SUM(good) FILTER ((bits & bit) <> 0 AND (bits & before) = 0) AS good_lost,
+         SUM(toxic) FILTER ((bits & bit) <> 0 AND (bits & before) = 0) AS toxic_lost
+  FROM p, e GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(SUM(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+_OP12 = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), j AS (
+  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_quality_rules": _OP2,
     "op5_embedding_dedup": _OP5,
     "op6_minhash_dedup": _OP6,
     "op7_warc": _OP7,
+    "op11_filter_audit": _OP11,
+    "op12_url_rules": _OP12,
 }
