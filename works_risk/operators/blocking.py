@@ -8,6 +8,7 @@ vector must be folded into one point beforehand, which keeps a group of copies l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.scalars import amount_bucket
-from works_risk.functions.texts import character_bound, histograms, length_bound, match_ratio, ratios_at_least
+from works_risk.functions.texts import length_bound, match_ratio, matches
 from works_risk.functions.vectors import clipped_cosine
 from works_risk.operators.lookup import attach
 from works_risk.session import settle, spread
@@ -25,6 +26,9 @@ SMALL_ROWS = 64
 SALTS = 64
 VECTOR_TILE_ROWS = 2048
 TEXT_TILE_ROWS = 256
+# Lengths of texts in one tile differ by this factor at most; tiles of one kind of length are numbered below the other number.
+_LENGTH_STEP = 1.3
+_PER_KIND = 1 << 32
 _CHUNK = 512
 # Both routes round before they compare, so that the order of a sum decides nothing.
 SCORE_PLACES = 12
@@ -88,6 +92,34 @@ def _tile_pairs(big: DataFrame, tile_rows: int) -> DataFrame:
     )
 
 
+def _length_tile_pairs(big: DataFrame, floor: float, tile_rows: int) -> DataFrame:
+    """As ``_tile_pairs`` for texts ``norm``, but tiles hold texts of similar length, and two tiles meet only if their lengths
+    allow a ratio of ``floor``: twice the shorter over both."""
+    limit = math.log((2 - floor) / floor, _LENGTH_STEP)
+    kind = F.floor(F.log(_LENGTH_STEP, F.length("norm") + 1)).cast("long")
+    rows = big.drop("block_rows").withColumn("_kind", kind)
+    parts = F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts")
+    kinds = rows.groupBy("block", "_kind").agg(parts)
+    # One row per block and kind of length, at most a few dozen per block; listed once per salt as in ``split_blocks``.
+    near = F.transform(
+        F.filter("_kinds", lambda k: F.abs(k["_kind"] - F.col("_kind")) < limit + 1),
+        lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["parts"] - 1), lambda part: k["_kind"] * _PER_KIND + part),
+    )
+    listed = kinds.groupBy("block").agg(F.collect_list(F.struct("_kind", "parts")).alias("_kinds"))
+    salted = kinds.join(listed, "block").select(
+        "block", "_kind", "parts", F.flatten(near).alias("_near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
+    placed = rows.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(salted, ["block", "_kind", "_salt"])
+    own = F.col("_kind") * _PER_KIND + F.pmod(F.hash("item"), F.col("parts"))
+    return (
+        placed.withColumn("tile", own)
+        .withColumn("_other", F.explode("_near"))
+        .withColumn("lo", F.least("tile", "_other"))
+        .withColumn("hi", F.greatest("tile", "_other"))
+        .drop("_kind", "_salt", "_near", "_other", "parts")
+    )
+
+
 def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     lo, hi = group["lo"].iat[0], group["hi"].iat[0]
     if lo == hi:
@@ -180,18 +212,13 @@ def similar_texts(
         left, right, same = _sides(group)
         rows = left if same else pd.concat([left, right])
         side = np.zeros(len(rows)) if same else np.repeat([0, 1], [len(left), len(right)])
-        ids, items, texts = rows["first_id"].to_numpy(), rows["item"].to_numpy(), rows["norm"].tolist()
-        counts, sizes = histograms(texts)
-        found = []
-        for k, text in enumerate(texts):  # the second of its pairs: the first ones have lower ids
-            lower = np.flatnonzero((ids < ids[k]) & ((side != side[k]) | same))
-            lower = lower[character_bound(counts[lower], counts[k], sizes[lower], sizes[k]) >= floor]
-            for j, value in zip(lower, ratios_at_least([texts[j] for j in lower], text, floor), strict=True):
-                if value is not None:
-                    found.append((group["block"].iat[0], items[j], items[k], value))
+        ids, items = rows["first_id"].to_numpy(), rows["item"].to_numpy()
+        # A text is the second of its pairs with those of lower ids.
+        firsts = lambda k: np.flatnonzero((ids < ids[k]) & ((side != side[k]) | same))
+        found = [(group["block"].iat[0], items[j], items[k], r) for j, k, r in matches(rows["norm"].tolist(), firsts, floor)]
         return pd.DataFrame(found, columns=["block", "item_a", "item_b", "ratio"])
 
     types = dict(points.dtypes)
     schema = f"block {types['block']}, item_a {types['item']}, item_b {types['item']}, ratio double"
-    tiles = _tile_pairs(big, tile_rows)
+    tiles = _length_tile_pairs(big, floor, tile_rows)
     return near.unionByName(tiles.groupBy("block", "lo", "hi").applyInPandas(match, schema))
