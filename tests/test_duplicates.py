@@ -168,3 +168,34 @@ def test_embedders_that_fail_give_zero_vectors(spark):
     assert total(failing) == total(short) == [0.0] * 5
     assert total(wide) == [float(EMBED_DIM)] * 5
     assert total(one_by_one(picky)) == [384.0, 384.0, 0.0, 384.0, 384.0]
+
+
+def test_a_stored_sweep_is_linear_in_copies(spark, tmp_path):
+    from works_risk.sources import sinks, tables
+
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "concat('MP1/2020-2021/', id) AS work_id", "'1' AS mp_no", "'A' AS mp_name", "'F' AS work_status",
+        "if(id % 4 = 0, '2020-2021', '2021-2022') AS fy", "CAST(5 AS decimal(18,2)) AS recommended_amount",
+        "if(id < 10, 'Construction of community halls', 'Construction of community hall') AS work_desc",
+    )
+    models = {"tuned": hashed_trigrams, "frozen": lambda texts: np.zeros((len(texts), EMBED_DIM))}
+    sinks.write_links(duplicates.sweep_texts(rows, models, PARAMS), f"{tmp_path}/sweep")
+    found = tables.read_links(spark, f"{tmp_path}/sweep")
+    assert found.links.count() == 3 and found.works.count() == n
+    counted = {r["model"]: (r["pairs"], r["texts"]) for r in duplicates.link_counts(found).collect()}
+    assert counted == {"tuned": (n * (n - 1) // 2, 1)}
+    signals = duplicates.signals_from_links(found, "tuned", rows, PARAMS).groupBy("dup_partner_count", "dup_partner_cross_fy").count().collect()
+    assert {tuple(r) for r in signals} == {(n - 1, n * 3 // 4, n // 4), (n - 1, n // 4, n * 3 // 4)}
+    none = duplicates.signals_from_links(found, "frozen", rows, PARAMS)
+    assert none.filter("dup_partner_count > 0").count() == 0 and none.count() == n
+
+
+def test_signals_from_links_equal_those_from_pairs(claims):
+    _, df = claims
+    found = duplicates.sweep_texts(df, {"tuned": hashed_trigrams}, PARAMS, exact=False)
+    pairs = duplicates.with_copies(found.works, duplicates.both_ways(found.of("tuned")))
+    cols = ["work_id", "dup_partner_count", "dup_partner_cross_fy", "has_duplicate_lead"]
+    a = sorted(map(tuple, duplicates.signals_from_links(found, "tuned", df, PARAMS).select(cols).collect()))
+    assert a == sorted(map(tuple, duplicates.signals_from_pairs(pairs, df, PARAMS).select(cols).collect()))
+    assert any(r[1] for r in a) and duplicates.link_counts(found).first()["pairs"] == pairs.count()

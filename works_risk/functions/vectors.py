@@ -38,20 +38,31 @@ def clipped_cosine(unit_a: Column, unit_b: Column) -> Column:
     return F.least(F.greatest(dot(unit_a, unit_b), F.lit(-1.0)), F.lit(1.0))
 
 
-def hashed_trigrams(texts: list[str]) -> np.ndarray:
-    """Default embedder: counts of hashed character trigrams, scaled to length 1."""
+def _hashed_grams(texts: list[str], size: int) -> np.ndarray:
+    """Counts of hashed runs of ``size`` characters, scaled to length 1."""
     out = np.zeros((len(texts), EMBED_DIM))
     for row, text in enumerate(texts):
         plain = " ".join(text.lower().split())
         codes = np.frombuffer(plain.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        if codes.size < 3:
+        if codes.size < size:
             continue
-        slots = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % 1000003 % EMBED_DIM
-        counts = np.bincount(slots, minlength=EMBED_DIM).astype(float)
+        runs = codes.size - size + 1
+        mixed = sum(codes[k : k + runs] * 31 ** (size - 1 - k) for k in range(size))
+        counts = np.bincount(mixed % 1000003 % EMBED_DIM, minlength=EMBED_DIM).astype(float)
         out[row] = counts / np.sqrt(counts @ counts)
     return out
 
 
+def hashed_trigrams(texts: list[str]) -> np.ndarray:
+    """Default embedder: counts of hashed character trigrams, scaled to length 1."""
+    return _hashed_grams(texts, 3)
+
+
+def hashed_bigrams(texts: list[str]) -> np.ndarray:
+    """A coarser embedder: counts of hashed pairs of characters, scaled to length 1."""
+    return _hashed_grams(texts, 2)
+
+
 def counting_failures(embed_many: EmbedMany, failed: Accumulator) -> EmbedMany:
     """``embed_many`` that adds the texts of every batch that fails, or has too few vectors, to an accumulator."""
 

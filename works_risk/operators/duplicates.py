@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,18 +61,24 @@ def embedded(points: DataFrame, embed_many: EmbedMany = hashed_trigrams) -> Data
     return settle(with_unit(raw.filter(norm(F.col("raw")) > 0), "raw").drop("raw"))
 
 
+def text_links(points: DataFrame, threshold: float) -> DataFrame:
+    """Matches between folded points, each unordered pair of texts once, and each text with itself for its copies."""
+    own = points.select("block", F.col("item").alias("item_a"), F.col("item").alias("item_b"), F.lit(1.0).alias("similarity"))
+    return similar_items(points, threshold).select(*_EDGE).unionByName(own)
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """Every link from both of its ends; a text's link with itself once."""
+    there = F.struct(F.col("item_a").alias("item_a"), F.col("item_b").alias("item_b"))
+    back = F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"))
+    ends = F.explode(F.when(F.col("item_a") == F.col("item_b"), F.array(there)).otherwise(F.array(there, back))).alias("e")
+    rest = [c for c in links.columns if c not in ("item_a", "item_b")]
+    return links.select(ends, *rest).select("e.*", *rest)
+
+
 def edges(points: DataFrame, threshold: float) -> DataFrame:
     """Matches between folded points in both directions, plus each point with itself (its copies)."""
-    found = similar_items(points, threshold)
-    both = F.explode(
-        F.array(
-            F.struct(F.col("item_a").alias("item_a"), F.col("item_b").alias("item_b")),
-            F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")),
-        )
-    )
-    mirrored = found.select("block", both.alias("e"), "similarity").select("block", "e.*", "similarity")
-    own = points.select("block", F.col("item").alias("item_a"), F.col("item").alias("item_b"), F.lit(1.0).alias("similarity"))
-    return mirrored.unionByName(own)
+    return both_ways(text_links(points, threshold))
 
 
 def folded_signals(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,17 +149,19 @@ def duplicate_signals(master: DataFrame, params: Params, embed_many: EmbedMany =
 
 
 def with_copies(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Write links between folded points out as pairs of works, ``work_a < work_b``.
+    """Write links between folded points, in both directions, out as pairs of works, ``work_a < work_b``.
 
-    The result has one row per pair of works, so it is as large as the answer; the signals do not need it.
+    The result has one row per pair of works, so it is as large as the answer; signals and counts do not need it.
+    Further columns of ``links`` come along.
     """
     a = members.select("block", F.col("item").alias("item_a"), F.col("work_id").alias("work_a"))
     b = members.select("block", F.col("item").alias("item_b"), F.col("work_id").alias("work_b"))
+    rest = [c for c in links.columns if c not in ("block", "item_a", "item_b")]
     return (
         links.join(a, ["block", "item_a"])
         .join(b, ["block", "item_b"])
         .filter(F.col("work_a") < F.col("work_b"))
-        .select("work_a", "work_b", "similarity")
+        .select("work_a", "work_b", *rest)
     )
 
 
@@ -159,6 +170,60 @@ def pair_table(master: DataFrame, params: Params, embed_many: EmbedMany = hashed
     return with_copies(members, edges(embedded(folded(members), embed_many), params.duplicate_cosine))
 
 
+@dataclass(frozen=True)
+class Sweep:
+    """What a sweep stores: works with the text they name, and links between texts for each model.
+
+    ``works``: work_id, block, item, fy. ``links``: model, block, item_a, item_b, similarity, each unordered pair of texts once
+    and every text that can match with itself. N copies of a text are N rows here, not N squared.
+    """
+
+    works: DataFrame
+    links: DataFrame
+
+    def of(self, model: str) -> DataFrame:
+        return self.links.filter(F.col("model") == model).drop("model")
+
+
+def sweep_texts(master: DataFrame, models: dict[str, EmbedMany], params: Params, exact: bool = True) -> Sweep:
+    """Sweep the works with long enough text with several embedders, in blocks of exact amounts or those of ``params``."""
+    members = claims(master, replace(params, amount_grain=0) if exact else params, MIN_TEXT_CHARS)
+    points = settle(folded(members))
+    tables = [
+        text_links(embedded(points, model), params.duplicate_cosine).withColumn("model", F.lit(name)) for name, model in models.items()
+    ]
+    return Sweep(members.select("work_id", "block", "item", "fy"), reduce(DataFrame.unionByName, tables))
+
+
+def signals_from_links(found: Sweep, model: str, master: DataFrame, params: Params) -> DataFrame:
+    """Signals for every work of ``master`` from a stored sweep, without writing out pairs of works."""
+    return zero_filled(master, folded_signals(found.works, both_ways(found.of(model))), params)
+
+
+def work_pairs(found: Sweep, master: DataFrame) -> DataFrame:
+    """The sweep as pairs of works with the status of both: as large as the answer, for export."""
+    pairs = with_copies(found.works, both_ways(found.links))
+    a = master.select(F.col("work_id").alias("work_a"), F.col("work_status").alias("work_status_a"), "mp_name")
+    b = master.select(F.col("work_id").alias("work_b"), F.col("work_status").alias("work_status_b"))
+    return (
+        pairs.join(a, "work_a", "left")
+        .join(b, "work_b", "left")
+        .select("model", F.round("similarity", 4).alias("similarity"), "work_a", "work_b", "work_status_a", "work_status_b", "mp_name")
+    )
+
+
+def link_counts(found: Sweep) -> DataFrame:
+    """``model, pairs, texts``: pairs of works and linked pairs of different texts, counted from the links and the number of
+    works behind each text."""
+    copies = settle(found.works.groupBy("block", "item").agg(F.count(F.lit(1)).alias("works")))
+    a = copies.select("block", F.col("item").alias("item_a"), F.col("works").alias("works_a"))
+    b = copies.select("block", F.col("item").alias("item_b"), F.col("works").alias("works_b"))
+    own = F.col("item_a") == F.col("item_b")
+    pairs = F.when(own, F.col("works_a") * (F.col("works_a") - 1) / 2).otherwise(F.col("works_a") * F.col("works_b"))
+    met = found.links.join(a, ["block", "item_a"]).join(b, ["block", "item_b"])
+    return met.groupBy("model").agg(F.sum(pairs.cast("bigint")).alias("pairs"), F.count_if(~own).alias("texts"))
+
+
 def canonical_pairs(pairs: DataFrame) -> DataFrame:
     """Unordered pairs once each, with their highest similarity."""
     return pairs.groupBy(
@@ -203,32 +268,8 @@ def signals_from_sweep(sweep: DataFrame, model: str, master: DataFrame, params:
 
 
 def sweep(master: DataFrame, models: dict[str, EmbedMany], params: Params) -> DataFrame:
-    """Pair tables of several embedders over exact-amount blocks of works with long enough text."""
-    exact = Params(**{**params.__dict__, "amount_grain": 0})
-    members = claims(master, exact, MIN_TEXT_CHARS)
-    points = folded(members)
-    tables = [
-        with_copies(members, edges(embedded(points, model), params.duplicate_cosine)).withColumn("model", F.lit(name))
-        for name, model in models.items()
-    ]
-    united = tables[0]
-    for table in tables[1:]:
-        united = united.unionByName(table)
-    a = master.select(F.col("work_id").alias("work_a"), F.col("work_status").alias("work_status_a"), "mp_name")
-    b = master.select(F.col("work_id").alias("work_b"), F.col("work_status").alias("work_status_b"))
-    return (
-        united.join(a, "work_a", "left")
-        .join(b, "work_b", "left")
-        .select(
-            "model",
-            F.round("similarity", 4).alias("similarity"),
-            "work_a",
-            "work_b",
-            "work_status_a",
-            "work_status_b",
-            "mp_name",
-        )
-    )
+    """Pairs of works of several embedders over exact-amount blocks of works with long enough text."""
+    return work_pairs(sweep_texts(master, models, params), master)
 
 
 def exclusive_pairs(sweep_table: DataFrame, model: str, other: str) -> DataFrame:

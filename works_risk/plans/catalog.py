@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from works_risk.functions import cleaning as C
 from works_risk.functions.scalars import guarded_ratio, inverted_min_max
-from works_risk.functions.vectors import clipped_cosine, embedding, norm
+from works_risk.functions.vectors import clipped_cosine, embedding, hashed_bigrams, hashed_trigrams, norm
 from works_risk.operators import aggregate, blocking, classify, dossier, duplicates, evaluate, features, rules, search
 from works_risk.operators import training_pairs as training
 from works_risk.operators.forest import outliers
@@ -19,11 +19,11 @@ from works_risk.operators.ordering import first_per_key, last_per_key
 from works_risk.operators.quantiles import exact_quantiles
 from works_risk.operators.rate import rolling_counts
 from works_risk.plans import driver_tables as D
-from works_risk.plans.job import run_extracts
+from works_risk.plans.job import run_extracts, run_master
 from works_risk.plans.master import payments, work_ids
 from works_risk.schema import FEATURE_COLUMNS
 from works_risk.session import scratch, settle, ship
-from works_risk.sources import extracts, tables
+from works_risk.sources import extracts, sinks, tables
 from works_risk.streaming import windows
 from works_risk.streaming.recompute import recompute_on_arrival
 
@@ -241,10 +241,36 @@ def dup_signals(spark, sf):
     return rounded(found, 4, "dup_partner_sim_max")
 
 
+def stored_sweep(spark, master, models, exact=True):
+    """A sweep written as links between texts and read back."""
+    out = scratch(spark, "sweep")
+    sinks.write_links(duplicates.sweep_texts(master, models, D.PARAMS, exact), out)
+    return tables.read_links(spark, out)
+
+
 def sweep_signals(spark, sf):
-    claimants = D.claimants(spark, sf)
-    pairs = duplicates.pair_table(claimants, D.PARAMS)
-    return rounded(duplicates.signals_from_pairs(pairs, D.order_works(spark, sf), D.PARAMS), 4, "dup_partner_sim_max")
+    found = stored_sweep(spark, D.claimants(spark, sf), {"tuned": hashed_trigrams}, exact=False)
+    return rounded(duplicates.signals_from_links(found, "tuned", D.order_works(spark, sf), D.PARAMS), 4, "dup_partner_sim_max")
+
+
+def sweep(spark, sf):
+    """Two embedders over whole documents of one language and exactly the same length, as pairs."""
+    works = D.document_works(spark, sf)
+    return duplicates.work_pairs(stored_sweep(spark, works, {"tuned": hashed_trigrams, "frozen": hashed_bigrams}), works)
+
+
+def sweep_counts(spark, sf):
+    """Pairs per model of the same sweep, counted from links between texts."""
+    found = stored_sweep(spark, D.document_works(spark, sf), {"tuned": hashed_trigrams, "frozen": hashed_bigrams})
+    return duplicates.link_counts(found)
+
+
+def prebuilt_detect(spark, sf):
+    """Detection from a prebuilt master and a prebuilt sweep, both written and read back."""
+    out = scratch(spark, "prebuilt")
+    D.works(spark, sf).write.parquet(f"{out}/master")
+    found = stored_sweep(spark, D.claimants(spark, sf), {"tuned": hashed_trigrams, "frozen": hashed_bigrams}, exact=False)
+    return job_columns(run_master(tables.read_master(spark, f"{out}/master"), found, "tuned", f"{out}/tables", D.PARAMS).flags)
 
 
 def model_pairs(spark, sf):
@@ -330,13 +356,16 @@ def pair_counts(spark, sf):
 
 
 def token_overlap(spark, sf):
+    """Token overlap is taken once per pair of texts and written out to the pairs of works that name them."""
     claimants = D.claimants(spark, sf)
-    pairs = duplicates.pair_table(claimants, D.PARAMS)
-    words = claimants.select("work_id", F.col("work_desc"))
-    a = words.select(F.col("work_id").alias("work_a"), F.col("work_desc").alias("anchor_text"))
-    b = words.select(F.col("work_id").alias("work_b"), F.col("work_desc").alias("other_text"))
-    judged = training.loose_vocabulary(pairs.join(a, "work_a").join(b, "work_b"))
-    return rounded(judged, 4, "jaccard", "similarity").select("work_a", "work_b", "similarity", "jaccard", "cross_vocabulary")
+    members = settle(duplicates.claims(claimants, D.PARAMS))
+    points = settle(duplicates.folded(members))
+    links = duplicates.edges(duplicates.embedded(points), D.PARAMS.duplicate_cosine)
+    a = points.select("block", F.col("item").alias("item_a"), F.col("text").alias("anchor_text"))
+    b = points.select("block", F.col("item").alias("item_b"), F.col("text").alias("other_text"))
+    judged = training.loose_vocabulary(links.join(a, ["block", "item_a"]).join(b, ["block", "item_b"])).drop("anchor_text", "other_text")
+    pairs = duplicates.with_copies(members.select("block", "item", "work_id"), judged)
+    return rounded(pairs, 4, "jaccard", "similarity").select("work_a", "work_b", "similarity", "jaccard", "cross_vocabulary")
 
 
 def group_stats(spark, sf):
@@ -576,6 +605,9 @@ CATALOG: dict[str, Query] = {
     "block_pairs": block_pairs,
     "dup_signals": dup_signals,
     "sweep_signals": sweep_signals,
+    "sweep": sweep,
+    "sweep_counts": sweep_counts,
+    "prebuilt_detect": prebuilt_detect,
     "exclusive_pairs": exclusive_pairs,
     "model_counts": model_counts,
     "top_pairs": top_pairs,

@@ -159,6 +159,21 @@ def document_claims(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.withColumn("item", F.sha2("text", 256))
 
 
+def document_works(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as works: a member per language, the number of characters as the amount, the source as year and status."""
+    rows = table(spark, sf, "documents")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select(
+        F.col("doc_id").cast("string").alias("work_id"),
+        text("lang").alias("mp_no"),
+        F.concat(F.lit("Member "), text("lang")).alias("mp_name"),
+        text("source").alias("fy"),
+        text("source").alias("work_status"),
+        F.col("n_chars").cast("decimal(18,2)").alias("recommended_amount"),
+        F.col("text").alias("work_desc"),
+    )
+
+
 def signals(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
     return duplicate_signals(claimants(spark, sf, params), params)
 

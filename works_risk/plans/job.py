@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from works_risk.functions.vectors import EmbedMany, hashed_trigrams
 from works_risk.operators.aggregate import load_summary, offenders, per_mp, ranked, summary
 from works_risk.operators.dossier import build_dossiers
-from works_risk.operators.duplicates import signals_from_sweep
+from works_risk.operators.duplicates import Sweep, signals_from_links, signals_from_sweep
 from works_risk.operators.search import anchor_table
 from works_risk.params import Params
 from works_risk.plans.detect import detect, detect_live
@@ -86,10 +86,15 @@ def run_chambers(spark: SparkSession, folders: dict[str, str], out: str, params:
 
 
 def run_master(
-    master: DataFrame, sweep: DataFrame | None, model: str, out: str, params: Params
+    master: DataFrame, sweep: DataFrame | Sweep | None, model: str, out: str, params: Params
 ) -> Result:
-    """A prebuilt master with a prebuilt sweep to written tables."""
-    signals = None if sweep is None else signals_from_sweep(sweep, model, master, params)
+    """A prebuilt master with a prebuilt sweep, stored as links or as a table of pairs, to written tables."""
+    if sweep is None:
+        signals = None
+    elif isinstance(sweep, Sweep):
+        signals = signals_from_links(sweep, model, master, params)
+    else:
+        signals = signals_from_sweep(sweep, model, master, params)
     return publish(detect(master, params, signals), out)
 
 

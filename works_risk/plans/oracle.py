@@ -114,6 +114,23 @@ SELECT work_id, COUNT(*) AS dup_partner_count, MAX(LEAST(similarity, 1.0)) AS du
   COUNT(*) FILTER (WHERE cross_fy) AS dup_partner_cross_fy
 FROM (SELECT work_a AS work_id, similarity, cross_fy FROM near UNION ALL SELECT work_b, similarity, cross_fy FROM near)
 GROUP BY work_id""",
+    "slots2": """
+SELECT doc_id, slot, COUNT(*) AS n FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: (unicode(c[i]) * 31 + unicode(c[i + 1])) % 1000003 % 384)) AS slot
+  FROM chars WHERE len(c) >= 2) GROUP BY doc_id, slot""",
+    "sizes2": "SELECT doc_id, sqrt(SUM(n * n)) AS size FROM slots2 GROUP BY doc_id",
+    "equals": """
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.lang, a.source AS source_a, b.source AS source_b
+FROM documents a JOIN documents b ON a.lang = b.lang AND a.n_chars = b.n_chars AND CAST(a.doc_id AS VARCHAR) < CAST(b.doc_id AS VARCHAR)
+WHERE length(trim(a.text)) >= 10 AND length(trim(b.text)) >= 10""",
+    "swept": """
+SELECT 'tuned' AS model, e.*, (SELECT SUM(x.n * y.n) FROM slots x JOIN slots y ON x.slot = y.slot WHERE x.doc_id = doc_a AND y.doc_id = doc_b)
+  / (sa.size * sb.size) AS s
+FROM equals e JOIN sizes sa ON sa.doc_id = doc_a JOIN sizes sb ON sb.doc_id = doc_b
+UNION ALL
+SELECT 'frozen', e.*, (SELECT SUM(x.n * y.n) FROM slots2 x JOIN slots2 y ON x.slot = y.slot WHERE x.doc_id = doc_a AND y.doc_id = doc_b)
+  / (sa.size * sb.size)
+FROM equals e JOIN sizes2 sa ON sa.doc_id = doc_a JOIN sizes2 sb ON sb.doc_id = doc_b""",
     "judge": f"""
 SELECT *, {_REASONS} AS reasons,
   CAST(LEAST(GREATEST(CASE WHEN flag_stalled THEN 35 ELSE 0 END + CASE WHEN flag_unparseable THEN 10 ELSE 0 END
@@ -213,6 +230,9 @@ NEEDS = {
     "pairs": ["claim", "sizes"],
     "near": ["pairs"],
     "sig": ["near"],
+    "slots2": ["chars"],
+    "sizes2": ["slots2"],
+    "swept": ["equals", "sizes", "sizes2"],
     "judge": ["rule", "sig"],
     "flags": ["judge"],
     "mps": ["flags"],
@@ -223,7 +243,7 @@ NEEDS = {
     "models": ["npairs"],
 }
 # Read more than once, so worth computing once.
-STORED = {"slots", "sizes", "near", "flags", "chars", "claim"}
+STORED = {"slots", "sizes", "slots2", "sizes2", "near", "flags", "chars", "claim"}
 
 
 def query(body: str, *needs: str) -> str:
@@ -427,6 +447,18 @@ FROM ord LEFT JOIN sig USING (work_id)""",
         "ord",
         "sig",
     ),
+    "prebuilt_detect": _JOB,
+    "sweep": query(
+        """SELECT model, round(LEAST(s, 1.0), 4) AS similarity, CAST(doc_a AS VARCHAR) AS work_a, CAST(doc_b AS VARCHAR) AS work_b,
+  source_a AS work_status_a, source_b AS work_status_b, 'Member ' || lang AS mp_name FROM swept WHERE s >= 0.8""",
+        "swept",
+    ),
+    "sweep_counts": query(
+        """SELECT model, COUNT(*) AS pairs, COUNT(DISTINCT (LEAST(ta, tb), GREATEST(ta, tb), lang)) FILTER (WHERE ta <> tb) AS texts
+FROM swept JOIN (SELECT doc_id AS da, md5(trim(text)) AS ta FROM documents) ON da = doc_a
+JOIN (SELECT doc_id AS db, md5(trim(text)) AS tb FROM documents) ON db = doc_b WHERE s >= 0.8 GROUP BY model""",
+        "swept",
+    ),
     "exclusive_pairs": query(
         "SELECT work_a, work_b, round(s_all, 4) AS similarity FROM vpairs WHERE s_all >= 0.2 AND NOT s_half >= 0.2", "vpairs"
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.operators.aggregate import rank_order
+from works_risk.operators.duplicates import Sweep
 from works_risk.operators.search import risk_order
 from works_risk.sources.files import open_output
 
@@ -34,6 +35,12 @@ def write_sweep(sweep: DataFrame, path: str) -> None:
     sweep.write.mode("overwrite").partitionBy("model").parquet(path)
 
 
+def write_links(found: Sweep, path: str) -> None:
+    """A sweep as it is stored: works with their texts, and links between texts by model."""
+    found.works.write.mode("overwrite").parquet(f"{path}/works")
+    found.links.write.mode("overwrite").partitionBy("model").parquet(f"{path}/links")
+
+
 def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
