@@ -6,17 +6,17 @@ shingle. A text sees the points below its weights, and each slot keeps the earli
 exactly the probability of their weighted Jaccard similarity. Points come in order of time and stop at a time by which the
 slots are full, so a long text makes few points per shingle.
 
-Steps: (1) one pass gives each text its signature; equal texts fold to one node. (2) Bands of the signature
+Steps: (1) one pass gives each text its signature and a 128-bit digest of its words; equal texts fold to one node. (2) Bands of the signature
 name buckets; a bucket of many nodes is cut into tiles. Tasks compare signatures (one byte a slot) inside tiles and keep a
 forest of links that may reach the threshold. (3) The connected nodes form loose groups; each gets its texts once per
-tile, and tasks confirm links on the full multisets, best guess first, skipping pairs that are already connected. (4) The
+tile (a fixed-size bitmap of wanted rows keeps all other texts from being moved), and tasks confirm links on the full multisets, best guess first, skipping pairs that are already connected. (4) The
 confirmed links give the classes. No step writes the pairs of a group: tasks write forests, at most one link per node.
 
 A link at similarity 0.8 is missed with a chance of (1 - 0.8**4)**24 = 3e-6 by the bands and of under 1e-6 by the margin of the
 signatures; what is linked is exact.
 
-Defined results: a null text or one without a word is alone in its class. One to four words are one shingle. Texts equal
-up to case and blanks are one class without comparison. Texts of any length are read whole. The id of a class is the smallest
+Defined results: a null text or one without a word is alone in its class. One to four words are one shingle. Texts of equal
+lower-cased words are one class without comparison. Texts of any length are read whole. The id of a class is the smallest
 doc_id in it, null where it has none, and that document is kept; rows that repeat a doc_id are one document and share the
 verdict. Columns named like an output column are replaced. An empty table gives no rows.
 """
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,16 +73,37 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word position of all texts, and the first position of each text (one more at the end)."""
+    bag = bag_of(texts)
+    return _word_hashes(bag.words)[bag.at] if len(bag.at) else np.zeros(0, np.uint64), bag.offsets
+
+
+def digests(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """128 bits over the words of each text in their order, null for a text without a word."""
+    sizes = np.diff(offsets)
+    place = mix((np.arange(len(hashes)) - np.repeat(offsets[:-1], sizes)).astype(np.uint64) * _GOLDEN)
+    sums = []
+    for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        parts = mix(mix(hashes ^ np.uint64(seed)) + place)
+        edges = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
+        sums.append(mix(edges[offsets[1:]] - edges[offsets[:-1]] + sizes.astype(np.uint64)))
+    made = np.ascontiguousarray(np.stack(sums, axis=1)).view(np.uint8).reshape(len(sizes), 16)
+    return pc.if_else(pa.array(sizes > 0), byte_rows(made), pa.scalar(None, pa.binary()))
+
+
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per distinct shingle of each text: the text's number (ascending), the shingle's hash (ascending), its count."""
-    bag = bag_of(texts)
-    hashes = _word_hashes(bag.words)[bag.at] if len(bag.at) else np.zeros(0, np.uint64)
-    lengths = np.diff(bag.offsets)
+    return shingles_of(*hashed_words(texts), size)
+
+
+def shingles_of(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.diff(offsets)
     # A text of fewer words than a shingle has one shingle of all its words.
     number = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
     doc = np.repeat(np.arange(len(lengths)), number)
-    start = bag.offsets[:-1][doc] + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    stop = bag.offsets[1:][doc]
+    start = offsets[:-1][doc] + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    stop = offsets[1:][doc]
     h = np.zeros(len(doc), np.uint64)
     for k in range(size):
         there = start + k < stop
@@ -167,12 +189,13 @@ def _sign(params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
-                doc, h, count = shingles(part.column("text"), params.shingle)
+                words, offsets = hashed_words(part.column("text"))
+                doc, h, count = shingles_of(words, offsets, params.shingle)
                 sig = signatures(doc, h, count, part.num_rows, params.slots)
                 keys = band_keys(sig, params)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * params.bands, pa.array(keys.reshape(-1)))
-                columns = [part.column("doc_id"), part.column("digest"), byte_rows(sig.astype(np.uint8)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sig", "keys"])
+                columns = [part.column("doc_id"), part.column("row"), digests(words, offsets), byte_rows(sig.astype(np.uint8)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "sig", "keys"])
 
     return run
 
@@ -245,22 +268,40 @@ def _confirm(params: Params):
     return run
 
 
-def digest(text: Column) -> Column:
-    """Equal for texts that differ in case and blanks only; null for a text without a word."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(plain != "", F.unhex(F.md5(plain)))
+#: Bits of the bitmap of wanted rows; the more rows are wanted, the less it keeps back, and it is always this large.
+_WANTED_BITS = 1 << 25
+
+
+def row_key() -> Column:
+    """The same for rows of one id and text. The hash comes first, so that an id of any kind cannot be taken for part of it."""
+    return F.concat_ws("|", F.xxhash64("text"), F.col("doc_id").cast("string"))
 
 
-def links(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, digest, doc_id of their first row, n_copies) and the (node, component) of linked nodes."""
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in ``wanted``, with a few others, found without moving them: a broadcast bitmap of fixed size."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(_WANTED_BITS))
+    number, position = F.bitmap_bucket_number("_bit"), F.bitmap_bit_position("_bit")
+    made = wanted.select(bit(key).alias("_bit")).groupBy(number.alias("_bucket")).agg(F.bitmap_construct_agg(position).alias("_bits"))
+    asked = rows.withColumn("_bit", bit(key)).withColumns({"_own": number, "_at": position})
+    met = asked.join(F.broadcast(made), F.col("_own") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    return met.withColumn("_byte", byte).filter(there).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def links(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, digest), nodes (node, digest, doc_id of their first row, n_copies) and the (node, component) of
+    linked nodes."""
     long_text_batches(docs.sparkSession)
-    source = docs.select("doc_id", "text").withColumn("digest", digest(F.col("text"))).filter(F.col("digest").isNotNull())
+    source = docs.select("doc_id", row_key().alias("row"), "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
-    signed = source.mapInArrow(_sign(params), f"doc_id {id_type}, digest binary, sig binary, keys array<long>")
+    signed = source.mapInArrow(_sign(params), f"doc_id {id_type}, row string, digest binary, sig binary, keys array<long>")
     signed = written(signed, "signatures")
-    folded = signed.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    folded = signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+        first, F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
+    folded = folded.select("digest", "first.doc_id", "first.row", "n_copies", "sig", "keys")
     nodes = written(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = written(nodes.select("node", F.explode("keys").alias("key")), "bands")
@@ -274,18 +315,18 @@ def links(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFr
     sizes = written(loose.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")), "loose-sizes")
     placed = attach(loose, sizes, "component", F.col("node")).withColumnRenamed("component", "key")
     cut = tiled(placed, F.col("size"), params.tile)
-    # The text of a node: that of its first row. Copies of a row with the same id are told by nothing, so one is taken.
-    wanted = loose.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), "sig"), "node")
-    texts = source.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.select("node", "text", "sig").dropDuplicates(["node"])
+    # The text of a node is that of its first row; rows of one id and text fold before they move.
+    wanted = written(loose.join(nodes.select("node", "row", "sig"), "node").select("node", "row", "sig"), "wanted-texts")
+    texts = only_wanted(source.select("row", "text"), wanted, "row").groupBy("row").agg(F.any_value("text").alias("text"))
+    texts = texts.join(wanted, "row").select("node", "text", "sig")
     full = cut.join(texts, "node").select("key", "i", "j", "side", "node", "sig", "text")
     confirmed = written(meet(full, _confirm(params)), "links")
-    return nodes, written(components(confirmed), "classes")
+    return signed.select("doc_id", "row", "digest"), nodes, written(components(confirmed), "classes")
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with class_id (smallest doc_id of the class), class_size (rows) and kept (the document the class is named for)."""
-    nodes, found = links(docs, params)
+    rows, nodes, found = links(docs, params)
     member = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         F.col("digest").alias("_digest"), "doc_id", "n_copies", F.coalesce("component", "node").alias("component")
     )
@@ -294,13 +335,16 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
         F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"), F.count(F.lit(1)).alias("n")
     )
     classed = attach(member.select("_digest", "component", "n_copies"), written(merged, "merged"), "component", F.col("_digest"))
-    facts = classed.select("_digest", "class_id", "class_size", F.col("n_copies").alias("n"))
-    facts = written(facts, "class-facts")
+    facts = written(classed.select("_digest", "class_id", "class_size", F.col("n_copies").alias("n")), "class-facts")
+    # From digests to rows: narrow, so that the documents themselves move once, or not at all where no text is asked for.
+    of_row = attach(rows.withColumnRenamed("digest", "_digest"), facts, "_digest", F.monotonically_increasing_id())
+    of_row = of_row.groupBy(F.col("row").alias("_row")).agg(
+        F.first("class_id").alias("class_id"), F.first("class_size").alias("class_size"), F.count(F.lit(1)).alias("n")
+    )
 
     columns = [c for c in docs.columns if c.lower() not in OUTPUT]
-    own = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_digest", digest(F.col("text")))
-    row = F.xxhash64("doc_id", "text")
-    marked = attach(own, facts, "_digest", row)
+    own = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_row", row_key())
+    marked = attach(own, written(of_row, "class-rows"), "_row", F.monotonically_increasing_id())
     alone = F.col("class_size").isNull()
     return marked.select(
         *[F.col(f"`{c}`") for c in columns],
