@@ -161,6 +161,42 @@ def test_packing_cuts_are_the_cheapest():
         assert _price(packing.best_cuts(at, penalty, length, window, 1), at, penalty, length, window) == best[-1]
 
 
+def _stream_of(rng, n):
+    """Documents of ids, some long, with sentence ends (id 5) of uneven density."""
+    docs = []
+    while sum(map(len, docs)) < n:
+        size = int(rng.choice([3, 40, 300, 900, 5000, 20_000], p=[0.2, 0.3, 0.2, 0.2, 0.09, 0.01]))
+        ids = rng.integers(6, 50, int(rng.integers(1, size + 1)))
+        ids[rng.random(len(ids)) < rng.choice([0, 0.01, 0.08])] = 5
+        docs.append(np.append(ids, 0).astype(np.uint32))
+    return docs
+
+
+def _packed(docs, chunk, params):
+    stream = packing._Stream(np.arange(60) == 5, params)
+    found, most = [], 0
+    for k, ids in enumerate(docs):
+        stream.add([k], ids, np.array([0, len(ids)]))
+        if stream.fresh >= chunk:
+            found.append(stream.settle(False))
+        most = max(most, stream.n)
+    found.append(stream.settle(True))
+    names = ("doc_id", "start", "length", "doc_tokens", "sequence", "offset")
+    return [tuple(int(x) for x in row) for f in found if f for row in zip(*[f[c] for c in names], strict=True)], most
+
+
+def test_packing_does_not_depend_on_the_chunk():
+    rng = np.random.default_rng(3)
+    for length, n in ((64, 20_000), (1024, 1_200_000)):
+        params, docs = packing.Params(length=length), _stream_of(rng, n)
+        whole, _ = _packed(docs, 1 << 40, params)
+        assert sum(r[2] for r in whole) == sum(map(len, docs))
+        for chunk in (1, 2_000, 500_000) if n < 100_000 else (2_000, 500_000):
+            cut, most = _packed(docs, chunk, params)
+            assert cut == whole
+            assert most < chunk + 200_000
+
+
 @pytest.mark.parametrize("chunk", [700, 1 << 19])
 def test_packing_holds_every_id_once(spark, library, monkeypatch, chunk):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "none at all"), (2, "a")]

@@ -6,8 +6,10 @@ plus a penalty for each cut inside a document and a small price for each window,
 a sliding window, which a monotone queue holds, so each candidate costs constant time. A window of a power of two needs no
 padding and is tried on its own.
 
-A partition is read as a stream: once ``CHUNK`` ids are held, all their windows but the last two are settled and leave,
-so memory is bounded by the chunk and the longest document. Range partitions split by size, not by key.
+A partition is read as a stream, and the size of its chunks decides nothing: costs, predecessors and the queue go on from one
+chunk to the next. After each ``CHUNK`` ids those windows leave that every way to go on has in common, so what is held is the
+chunk and the windows on which the ways still differ: a few, or a long text without a sentence end. Range partitions split by
+size, not by key.
 
 Defined results: a null text is empty and has the end id only; each id lies in exactly one piece; repeated rows
 are packed each; texts of any length are cut into as many pieces as needed; equal ids go by the hash of the text, null first.
@@ -16,6 +18,8 @@ Other columns do not enter. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,45 +66,86 @@ def candidates(doc_ends: np.ndarray, sentence_cuts: np.ndarray, params: Params)
     return at, penalty
 
 
+class Cutter:
+    """The cheapest way to cut candidates into windows, as candidates arrive."""
+
+    def __init__(self, length: int, window_price: int = 0, least_power: int = 1):
+        self.length, self.window_price, self.least_power = length, window_price, least_power
+        self.place, self.cost, self.came = [0], [0], [0]
+        self.waiting: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, candidate), both ascending
+
+    def extend(self, at: np.ndarray, penalty: np.ndarray) -> None:
+        """Take on further candidates, ascending and behind those known."""
+        known, length = len(self.place), self.length
+        every = np.concatenate([np.array(self.place, np.int64), at])
+        exact: dict[int, list[int]] = {}
+        size = self.least_power
+        while size < length:
+            found = np.searchsorted(every, every[known:] - size)
+            hits = np.flatnonzero(every[found] == every[known:] - size)
+            for j, i in zip((hits + known).tolist(), found[hits].tolist(), strict=True):
+                if j in exact:
+                    exact[j].append(i)
+                else:
+                    exact[j] = [i]
+            size *= 2
+        place, cost, came, waiting = self.place, self.cost, self.came, self.waiting
+        for j, (here, price) in enumerate(zip(at.tolist(), penalty.tolist(), strict=True), known):
+            first = here - length
+            while place[waiting[0][1]] < first:
+                waiting.popleft()
+            key, best = waiting[0]
+            value = key + length - here
+            for i in exact.get(j, ()):
+                if cost[i] < value:
+                    value, best = cost[i], i
+            value += price + self.window_price
+            place.append(here)
+            cost.append(value)
+            came.append(best)
+            key = value + here
+            while waiting and waiting[-1][0] >= key:
+                waiting.pop()
+            waiting.append((key, j))
+
+    def _chain(self, j: int) -> np.ndarray:
+        cuts = [j]
+        while cuts[-1]:
+            cuts.append(self.came[cuts[-1]])
+        return np.array([self.place[k] for k in reversed(cuts)], np.int64)
+
+    def finish(self) -> np.ndarray:
+        """All cuts up to the last candidate, first and last included."""
+        return self._chain(len(self.place) - 1)
+
+    def release(self) -> np.ndarray:
+        """The cuts that all ways to go on share; positions count from the last of them afterwards."""
+        place = self.place
+        last = bisect.bisect_right(place, place[-1] - self.length)
+        # Candidates that a later window may begin at; the latest is replaced by its predecessor until one is left.
+        live = [-k for k in range(last, len(place))]
+        heapq.heapify(live)
+        while len(live) > 1:
+            top = heapq.heappop(live)
+            if live[0] != top:
+                heapq.heappush(live, -self.came[-top])
+        common = -live[0]
+        cuts, base = self._chain(common), place[common]
+        self.place = [x - base for x in place[common:]]
+        self.cost = self.cost[common:]
+        self.came = [max(0, x - common) for x in self.came[common:]]
+        self.waiting = deque((key - base, k - common) for key, k in self.waiting if k >= common)
+        return cuts
+
+
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, window_price: int = 0, least_power: int = 1) -> np.ndarray:
     """The cut positions, first and last included, of the cheapest way to cut the candidates into windows.
 
     Windows of a power of two from ``least_power`` on are tried as unpadded ones.
     """
-    exact: dict[int, list[int]] = {}
-    size = least_power
-    while size < length:
-        found = np.minimum(np.searchsorted(at, at - size), len(at) - 1)
-        hits = np.flatnonzero(at[found] == at - size)
-        for j, i in zip(hits.tolist(), found[hits].tolist(), strict=True):
-            if j in exact:
-                exact[j].append(i)
-            else:
-                exact[j] = [i]
-        size *= 2
-    place, price = at.tolist(), penalty.tolist()
-    cost, came = [0] * len(place), [0] * len(place)
-    waiting: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, candidate), both ascending
-    for j in range(1, len(place)):
-        here = place[j]
-        first = here - length
-        while place[waiting[0][1]] < first:
-            waiting.popleft()
-        key, best = waiting[0]
-        value = key + length - here
-        for i in exact.get(j, ()):
-            if cost[i] < value:
-                value, best = cost[i], i
-        value += price[j] + window_price
-        cost[j], came[j] = value, best
-        key = value + here
-        while waiting and waiting[-1][0] >= key:
-            waiting.pop()
-        waiting.append((key, j))
-    cuts = [len(place) - 1]
-    while cuts[-1]:
-        cuts.append(came[cuts[-1]])
-    return at[np.array(cuts[::-1])]
+    cutter = Cutter(length, window_price, least_power)
+    cutter.extend(at[1:], penalty[1:])
+    return cutter.finish()
 
 
 class _Stream:
@@ -111,6 +156,8 @@ class _Stream:
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[object, int, int]] = []  # (doc_id, ids already gone, ids in all)
         self.n = 0
+        self.cutter = Cutter(params.length, params.window_price, params.least_power)
+        self.seen, self.seen_docs = 0, 0  # ids and documents that the cutter knows
         self.sequence = 0
 
     def add(self, doc_ids: list, ids: np.ndarray, offsets: np.ndarray) -> None:
@@ -118,18 +165,28 @@ class _Stream:
         self.ids.append(ids)
         self.n += len(ids)
 
+    @property
+    def fresh(self) -> int:
+        return self.n - self.seen
+
     def settle(self, last: bool) -> dict[str, list | np.ndarray] | None:
-        """Cut what is held; keep the last two windows back unless this is the end."""
+        """Cut what has come; windows leave that no later document can change, all of them if this is the end."""
         if not self.n:
             return None
         ids = np.concatenate(self.ids)
+        self.ids = [ids]
+        if self.fresh:
+            ends = np.cumsum(np.array([t for _, _, t in self.docs[self.seen_docs :]], np.int64))
+            sentences = np.flatnonzero(self.ends_sentence[ids[self.seen :]]) + 1
+            at, penalty = candidates(ends, sentences, self.params)
+            self.cutter.extend(at[1:] + self.seen, penalty[1:])
+            self.seen, self.seen_docs = self.n, len(self.docs)
+        cuts = self.cutter.finish() if last else self.cutter.release()
+        if len(cuts) < 2:
+            return None
         gone = np.array([g for _, g, _ in self.docs], np.int64)
         total = np.array([t for _, _, t in self.docs], np.int64)
         doc_ends = np.cumsum(total - gone)
-        sentence_cuts = np.flatnonzero(self.ends_sentence[ids]) + 1
-        cuts = best_cuts(*candidates(doc_ends, sentence_cuts, self.params), self.params.length, self.params.window_price, self.params.least_power)
-        if not last:
-            cuts = cuts[: max(1, len(cuts) - 2)]
         stop = int(cuts[-1])
         edges = np.unique(np.concatenate([cuts, doc_ends[doc_ends < stop]]))
         starts, sizes = edges[:-1], np.diff(edges)
@@ -151,6 +208,7 @@ class _Stream:
             before = int(doc_ends[done] - (total - gone)[done])
             rest[0] = (rest[0][0], rest[0][1] + max(0, stop - before), rest[0][2])
         self.docs, self.ids, self.n = rest, [ids[stop:]], len(ids) - stop
+        self.seen, self.seen_docs = self.n, len(rest)
         return out
 
 
@@ -185,7 +243,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params(), keep_encoder: bo
             for part in text_slices(batch, "text", SLICE_BYTES):
                 ids, offsets = with_end(*encoder.encode(part.column("text")), params.end)
                 stream.add(part.column("doc_id").to_pylist(), ids, offsets)
-                if stream.n >= CHUNK:
+                if stream.fresh >= CHUNK:
                     yield from rows(False)
         yield from rows(True)
         del encoder
