@@ -90,23 +90,28 @@ class Cutter:
                     exact[j] = [i]
             size *= 2
         place, cost, came, waiting = self.place, self.cost, self.came, self.waiting
-        for j, (here, price) in enumerate(zip(at.tolist(), penalty.tolist(), strict=True), known):
+        place += at.tolist()
+        cost += (penalty + self.window_price).tolist()  # until the cheapest way before it is added
+        came += [0] * len(at)
+        none: tuple[int, ...] = ()
+        of = exact.get
+        for j in range(known, len(place)):
+            here = place[j]
             first = here - length
             while place[waiting[0][1]] < first:
                 waiting.popleft()
-            key, best = waiting[0]
-            value = key + length - here
-            for i in exact.get(j, ()):
+            value, best = waiting[0]
+            value += length - here
+            for i in of(j, none):
                 if cost[i] < value:
                     value, best = cost[i], i
-            value += price + self.window_price
-            place.append(here)
-            cost.append(value)
-            came.append(best)
-            key = value + here
-            while waiting and waiting[-1][0] >= key:
+            value += cost[j]
+            cost[j] = value
+            came[j] = best
+            value += here
+            while waiting and waiting[-1][0] >= value:
                 waiting.pop()
-            waiting.append((key, j))
+            waiting.append((value, j))
 
     def _chain(self, j: int) -> np.ndarray:
         cuts = [j]
@@ -216,9 +221,10 @@ def pack(docs: DataFrame, path: str, params: Params = Params(), keep_encoder: bo
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, and ids as binary.
 
     ``sequence_id`` holds the partition in its upper bits and counts windows from 0 in its lower 33. ``keep_encoder`` lets a
-    worker keep its encoder and the pieces it knows for its next task; without it, later stages find that memory free.
+    worker keep its encoder and the pieces it knows for its next task; without it, later stages find that memory free, and texts
+    are encoded in smaller slices.
     """
-    long_text_batches(docs.sparkSession, 2_000)
+    long_text_batches(docs.sparkSession, 2_000 if keep_encoder else 1_000)
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -240,7 +246,7 @@ def pack(docs: DataFrame, path: str, params: Params = Params(), keep_encoder: bo
 
         for batch in batches:
             kind = batch.column("doc_id").type
-            for part in text_slices(batch, "text", SLICE_BYTES):
+            for part in text_slices(batch, "text", SLICE_BYTES if keep_encoder else SLICE_BYTES // 3):
                 ids, offsets = with_end(*encoder.encode(part.column("text")), params.end)
                 stream.add(part.column("doc_id").to_pylist(), ids, offsets)
                 if stream.fresh >= CHUNK:
