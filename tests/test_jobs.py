@@ -34,18 +34,18 @@ def test_whole_job_and_reload(spark, raw, tmp_path):
     assert result.summary.first()["total_works"] == 6
     assert sum(r["works"] for r in result.mps.collect()) == 6
     assert result.offenders.count() == result.mps.count()
-    written = spark.read.parquet(f"{out}/dossiers")
+    written = result.table("dossiers")
     assert written.count() == loaded.first()["flagged"] == result.flags.filter("is_flagged").count() > 0
     again, _ = job.load_or_run(spark, str(raw), out, PARAMS)
     assert again.first()["source"] == "precomputed"
-    risks = [r["risk_score"] for r in spark.read.parquet(f"{out}/flags").collect()]
+    risks = [r["risk_score"] for r in job.stored(spark, out).flags.collect()]
     assert risks == sorted(risks, reverse=True)
     sinks.write_dossier_files(written, f"{out}/files")
     one = written.first()
     assert (tmp_path / "out/files/works" / one["file_name"]).read_text() == one["dossier_md"]
     index = [r["value"] for r in spark.read.text(f"{out}/files/index").collect()]
     assert index[0] == f"# Flagged-work dossiers ({written.count()})"
-    master = tables.read_master(spark, f"{out}/master")
+    master = tables.read_master(spark, f"{result.path}/master")
     assert master.columns == MASTER.fieldNames()
     master.write.option("header", True).csv(f"{out}/master.csv")
     again = tables.read_master(spark, f"{out}/master.csv")

@@ -82,6 +82,11 @@ def money(c: Column, mode: str = "decimal") -> Column:
     return F.coalesce(number, F.lit(0).cast("decimal(18,2)"))
 
 
+def unreadable_money(c: Column) -> Column:
+    """Whether there is text but no number in it, so that ``money`` gives 0."""
+    return F.coalesce((F.trim(c) != "") & ~c.rlike("[0-9]"), F.lit(False))
+
+
 def day(c: Column) -> Column:
     """``dd-MMM-yyyy`` or ISO text to DATE, NULL when neither fits."""
     return F.coalesce(F.try_to_date(c, "dd-MMM-yyyy"), F.try_to_date(c, "yyyy-MM-dd"))

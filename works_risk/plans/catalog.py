@@ -19,12 +19,12 @@ from works_risk.operators.ordering import first_per_key, last_per_key
 from works_risk.operators.quantiles import exact_quantiles
 from works_risk.operators.rate import rolling_counts
 from works_risk.plans import driver_tables as D
-from works_risk.plans.job import run_extracts, run_master
+from works_risk.plans.job import run_chambers, run_extracts, run_master, stored
 from works_risk.plans.master import payments, work_ids
 from works_risk.schema import FEATURE_COLUMNS
 from works_risk.session import scratch, settle, ship
 from works_risk.sources import extracts, sinks, tables
-from works_risk.streaming import windows
+from works_risk.streaming import limiter, windows
 from works_risk.streaming.recompute import recompute_on_arrival
 
 PAIR_COSINE = 0.2
@@ -515,9 +515,37 @@ def stream_window(spark, sf):
     return latest.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")})
 
 
-def write_extracts(spark: SparkSession, sf: str, folder: str, keep: str = "true") -> None:
-    """The given tables as raw CSV extracts, with descriptions; of payments the rows that ``keep`` admits."""
+def rate_stream(spark, sf):
+    """The request limiter as a stream over the same log, delivered in three parts in order of time."""
+    out = scratch(spark, "limiter")
+    rows = D.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    ends = rows.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    third = (ends["b"] - ends["a"]) / 3 if ends["b"] is not None else 0.0
+    before = spark.conf.get(limiter.PROVIDER, None)
+    limiter.use_state_store(spark)
+    try:
+        for part in range(3):
+            at = F.col("ts").cast("double") - F.lit(ends["a"])
+            since, until = (at >= part * third) if part else F.lit(True), (at < (part + 1) * third) if part < 2 else F.lit(True)
+            rows.filter(since & until).write.parquet(f"{out}/in/part={part}")
+            source = spark.readStream.schema("key bigint, ts timestamp, seq bigint").option("recursiveFileLookup", True).parquet(f"{out}/in")
+            answers = limiter.limited(source, RATE_SECONDS, RATE_LIMIT, "1 minute")
+            limiter.write_answers(answers, f"{out}/answers", f"{out}/progress").start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(limiter.PROVIDER)
+        else:
+            spark.conf.set(limiter.PROVIDER, before)
+    return spark.read.parquet(f"{out}/answers").select("seq", "key", "recent", "allowed")
+
+
+def write_extracts(spark: SparkSession, sf: str, folder: str, keep: str = "true", member: int | None = None) -> None:
+    """The given tables as raw CSV extracts, with descriptions; of payments the rows that ``keep`` admits, and with ``member``
+    only works of members whose number leaves that rest by two."""
     for role, rows in D.raw_extracts(spark, sf).items():
+        if member is not None:
+            work = F.col({"recommended": "WORK", "expenditure": "Work ID"}.get(role, "Work"))
+            rows = rows.filter(C.mp_number(C.work_id(work)).cast("bigint") % 2 == member)
         if role == "recommended":
             named = D.with_text(spark, sf, rows.withColumn("work_no", F.col("_ordinal")))
             rows = named.withColumnRenamed("work_desc", "Work description").drop("work_no")
@@ -528,7 +556,8 @@ def write_extracts(spark: SparkSession, sf: str, folder: str, keep: str = "true"
         quoted.csv(f"{folder}/{extracts.FILES[role]}")
     listed = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("Sr. No."), F.col("c_name"), D.money("c_acctbal").cast("string").alias("amount"), "c_nationkey")
     limits = listed.select("`Sr. No.`", F.col("c_name").alias("Hon'ble Members of Parliaments"), F.col("amount").alias("Allocated AMOUNT ( ₹ )"))
-    limits.write.option("header", True).csv(f"{folder}/{extracts.FILES['roster']}")
+    names = extracts.FILES | (extracts.UPPER_HOUSE_FILES if member == 1 else {})
+    limits.write.option("header", True).csv(f"{folder}/{names['roster']}")
     consents = listed.filter(F.col("c_nationkey") == D.CONSENT_NATION)
     consents.select("`Sr. No.`", F.col("c_name").alias("Hon'ble Members of Parliament"), F.col("amount").alias("Consent Amount ( ₹ )")).write.option("header", True).csv(f"{folder}/{extracts.FILES['consent']}")
 
@@ -536,11 +565,11 @@ def write_extracts(spark: SparkSession, sf: str, folder: str, keep: str = "true"
 _JOB_FLAGS = ["unparseable", "stalled", "incomplete", "sanction_overrun", "zero_disbursal", "cost_overrun"]
 
 
-def job_columns(flags):
+def job_columns(flags, *further):
     """What a run of the job decides, but for the outliers, whose forest no SQL repeats."""
     return rounded(
         flags.select(
-            "work_id", "recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "calamity_consent",
+            *further, "work_id", "recommended_amount", "sanction_amount", "amount_disbursed", "exp_total", "alloc_limit", "calamity_consent",
             "exp_pay_count", "exp_vendors", *[f"flag_{n}" for n in _JOB_FLAGS],
             "dup_partner_count", "dup_partner_sim_max", "dup_partner_cross_fy", "has_duplicate_lead",
         ),
@@ -549,6 +578,42 @@ def job_columns(flags):
     )
 
 
+def write_damaged(spark: SparkSession, sf: str, folder: str) -> None:
+    """The work extracts with line breaks and quotes in descriptions, some lines cut off and some amounts without a number."""
+    amounts = {"recommended": "RECOMMENDED AMOUNT   ( ₹ )", "sanctioned": "Sanction Amount ( ₹ )", "completed": "Amount Disbursed ( ₹ )", "expenditure": "Fund Disbursed Amount ( ₹ )"}
+    for role, rows in D.raw_extracts(spark, sf).items():
+        number = F.regexp_extract(F.col("WORK" if role == "recommended" else "Work"), r"(\d+)$", 1).cast("bigint")
+        odd = F.when(number % 70 == 3, "not known").otherwise(F.col(f"`{amounts[role]}`"))
+        rows = rows.withColumn("_number", number).withColumn(amounts[role], odd)
+        if role == "recommended":
+            named = D.with_text(spark, sf, rows.withColumn("work_no", F.col("_number").cast("string")))
+            rows = named.withColumnRenamed("work_desc", "Work description").drop("work_no")
+        columns = [c for c in rows.columns if c not in ("_ordinal", "_number")]
+        line = F.to_csv(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]), {"escape": '"', "quoteAll": "true"})
+        cut = F.when(F.col("_number") % 50 == 7, F.concat_ws(",", F.lit('"cut'), F.lit('off"'), F.lit('"line"'))).otherwise(line)
+        header = ",".join(f'"{c}"' for c in columns)
+        tables.write_lines(rows.select(cut.alias("value")), header, f"{folder}/{extracts.FILES[role]}")
+
+
+def load_losses(spark, sf):
+    """Damaged extracts read in parallel: rows as delivered, malformed rows, unreadable amounts, and what is left to work on."""
+    out = scratch(spark, "damaged")
+    write_damaged(spark, sf, f"{out}/raw")
+    raw = extracts.read_extracts(spark, f"{out}/raw", multi_line=True, tolerant=True, landing=f"{out}/landed")
+    kept = [rows.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(role).alias("role"), "kept") for role, rows in raw.tables.items()]
+    return extracts.losses(raw).join(reduce(DataFrame.unionByName, kept), "role")
+
+
+def chambers(spark, sf):
+    """Both houses in one job: orders of even customers in one, of odd customers in the other."""
+    out = scratch(spark, "chambers")
+    for chamber, rest in (("ls", 0), ("rs", 1)):
+        write_extracts(spark, sf, f"{out}/{chamber}", member=rest)
+    flags, mps = run_chambers(spark, {c: f"{out}/{c}" for c in ("ls", "rs")}, f"{out}/tables", D.PARAMS, multi_line=True)
+    ranks = mps.select("chamber", "mp_no", F.col("risk_rank").alias("member_rank"), F.col("works").alias("member_works"))
+    return job_columns(flags, "chamber", "mp_no").join(ranks, ["chamber", "mp_no"]).drop("mp_no", "member_rank")
+
+
 def batch_job(spark, sf):
     """The whole job from raw extracts; flags as written and read back."""
     out = scratch(spark, "job")
@@ -564,7 +629,7 @@ def stream_ingest(spark, sf):
         write_extracts(spark, sf, f"{out}/raw/delivery={number}", keep)
         arrived = recompute_on_arrival(spark, f"{out}/raw", f"{out}/tables", f"{out}/progress", D.PARAMS, multi_line=True)
         arrived.awaitTermination()
-    return job_columns(spark.read.parquet(f"{out}/tables/run=1/flags"))
+    return job_columns(stored(spark, f"{out}/tables/run=1").flags)
 
 
 def prebuilt_sources(spark, sf):
@@ -634,9 +699,12 @@ CATALOG: dict[str, Query] = {
     "dossier_sections": dossier_sections,
     "json_records": json_records,
     "rate_window": rate_window,
+    "rate_stream": rate_stream,
     "stream_window": stream_window,
     "stream_ingest": stream_ingest,
     "batch_job": batch_job,
+    "load_losses": load_losses,
+    "chambers": chambers,
     "prebuilt_sources": prebuilt_sources,
 }
 

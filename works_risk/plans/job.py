@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -16,36 +17,61 @@ from works_risk.operators.search import anchor_table
 from works_risk.params import Params
 from works_risk.plans.detect import detect, detect_live
 from works_risk.plans.master import master_from_extracts
-from works_risk.sources import sinks
-from works_risk.sources.extracts import ORDINAL, Extracts, read_extracts
-from works_risk.sources.tables import read_or_build
+from works_risk.session import scratch
+from works_risk.sources import runs, sinks
+from works_risk.sources.extracts import ORDINAL, Extracts, losses, read_extracts
+
+
+#: What a run must hold to be read back.
+TABLES = ("flags", "mps", "anchors")
 
 
 @dataclass(frozen=True)
 class Result:
     """Tables of one run, read back from where they were written."""
 
+    path: str
     flags: DataFrame
     mps: DataFrame
     anchors: DataFrame
     summary: DataFrame
     offenders: DataFrame
 
+    def table(self, name: str) -> DataFrame:
+        """Another table of the run: master, losses or dossiers."""
+        return self.flags.sparkSession.read.parquet(f"{self.path}/{name}")
 
-def _stored(spark: SparkSession, out: str) -> Result:
-    flags = spark.read.parquet(f"{out}/flags")
-    mps = spark.read.parquet(f"{out}/mps")
-    return Result(flags, mps, spark.read.parquet(f"{out}/anchors"), summary(flags), offenders(mps))
 
+def stored(spark: SparkSession, out: str) -> Result:
+    """The newest run that was published whole."""
+    path = runs.newest(spark, out, TABLES)
+    if path is None:
+        raise FileNotFoundError(f"no published run in {out}")
+    flags, mps, anchors = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
+    return Result(path, flags, mps, anchors, summary(flags), offenders(mps))
 
-def publish(flags: DataFrame, out: str, embed_many: EmbedMany = hashed_trigrams, anchors: int | None = None) -> Result:
-    """Write flags, roll-up and anchors. Later steps read the written flags instead of computing them again."""
-    spark = flags.sparkSession
-    sinks.write_flags(flags, f"{out}/flags")
-    stored = spark.read.parquet(f"{out}/flags")
-    sinks.write_mps(ranked(per_mp(stored)), f"{out}/mps")
-    anchor_table(stored, anchors, embed_many).write.mode("overwrite").parquet(f"{out}/anchors")
-    return _stored(spark, out)
+
+def publish(
+    flags: DataFrame,
+    out: str,
+    embed_many: EmbedMany = hashed_trigrams,
+    anchors: int | None = None,
+    run: str | None = None,
+    further: Callable[[DataFrame, str], list[str]] | None = None,
+) -> Result:
+    """Write flags, roll-up and anchors into a run of ``out`` and commit it. Later steps read the written flags.
+
+    ``further`` writes more tables of the run, given the flags and its folder, and names them. Until all are written the run
+    before this one stays the newest.
+    """
+    spark, run = flags.sparkSession, run or runs.begin(out)
+    sinks.write_flags(flags, f"{run}/flags")
+    written = spark.read.parquet(f"{run}/flags")
+    sinks.write_mps(ranked(per_mp(written)), f"{run}/mps")
+    anchor_table(written, anchors, embed_many).write.mode("overwrite").parquet(f"{run}/anchors")
+    more = further(written, run) if further else []
+    runs.commit(spark, out, run, [*TABLES, *more])
+    return stored(spark, out)
 
 
 def raw_tables(raw: Extracts) -> dict[str, DataFrame]:
@@ -62,27 +88,63 @@ def run_extracts(
     anchors: int | None = None,
     multi_line: bool = False,
     tolerant: bool = False,
+    dossier_files: bool = False,
 ) -> Result:
     """Extracts to written flags, roll-up, anchors and dossiers.
 
     ``dossier_limit`` and ``anchors`` keep only the riskiest works; by default every flagged work gets both. ``multi_line``
-    and ``tolerant`` are those of ``read_csv``.
+    and ``tolerant`` are those of ``read_csv``; ``dossier_files`` also writes a file per dossier, for a limited number of them.
     """
-    raw = read_extracts(spark, folder, params.chamber, multi_line, tolerant)
-    master_from_extracts(raw, params).write.mode("overwrite").parquet(f"{out}/master")
-    master = spark.read.parquet(f"{out}/master")
-    result = publish(detect_live(master, params, embed_many), out, embed_many or hashed_trigrams, anchors)
-    sinks.write_dossiers(build_dossiers(result.flags, raw_tables(raw), ORDINAL, dossier_limit), f"{out}/dossiers")
-    return result
+    run = runs.begin(out)
+    raw = read_extracts(spark, folder, params.chamber, multi_line, tolerant, f"{run}/raw")
+    master_from_extracts(raw, params).write.mode("overwrite").parquet(f"{run}/master")
+    losses(raw).write.mode("overwrite").parquet(f"{run}/losses")
+    master = spark.read.parquet(f"{run}/master")
+
+    def further(flags: DataFrame, path: str) -> list[str]:
+        built = build_dossiers(flags, raw_tables(raw), ORDINAL, dossier_limit)
+        sinks.write_dossiers(built, f"{path}/dossiers")
+        if dossier_files:
+            sinks.write_dossier_files(spark.read.parquet(f"{path}/dossiers"), f"{path}/files")
+        return ["master", "losses", "dossiers"]
 
+    return publish(detect_live(master, params, embed_many), out, embed_many or hashed_trigrams, anchors, run, further)
 
-def run_chambers(spark: SparkSession, folders: dict[str, str], out: str, params: Params, **options) -> DataFrame:
-    """``run_extracts`` for every house, with its own extracts, into ``out/chamber=<name>``; the flags of all, by ``chamber``."""
-    tables = []
+
+def run_chambers(
+    spark: SparkSession,
+    folders: dict[str, str],
+    out: str,
+    params: Params,
+    embed_many: EmbedMany | None = hashed_trigrams,
+    multi_line: bool = False,
+    tolerant: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Both houses in one plan, each with its own extracts: flags and roll-up by ``chamber``, read back from ``out``.
+
+    Each table is one write, partitioned by chamber. Only partitions of the given houses are replaced, so one house can be run
+    again alone. Shares, medians and blocks are those of a house, so the result of a house does not depend on the other.
+    """
+    landed = scratch(spark, "chambers")
+    masters = []
     for chamber, folder in folders.items():
-        result = run_extracts(spark, folder, f"{out}/chamber={chamber}", replace(params, chamber=chamber), **options)
-        tables.append(result.flags.withColumn("chamber", F.lit(chamber)))
-    return reduce(DataFrame.unionByName, tables)
+        raw = read_extracts(spark, folder, chamber, multi_line, tolerant)
+        masters.append(master_from_extracts(raw, replace(params, chamber=chamber)))
+    reduce(DataFrame.unionByName, masters).write.partitionBy("chamber").parquet(f"{landed}/master")
+    master = spark.read.parquet(f"{landed}/master")
+
+    def by_house(make: Callable[[str], DataFrame], name: str) -> DataFrame:
+        made = reduce(DataFrame.unionByName, [make(chamber).withColumn("chamber", F.lit(chamber)) for chamber in folders])
+        path = f"{out}/{name}"
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chamber").parquet(path)
+        return spark.read.parquet(path)
+
+    def of(table: DataFrame, chamber: str) -> DataFrame:
+        return table.filter(F.col("chamber") == chamber).drop("chamber")
+
+    flags = by_house(lambda chamber: detect_live(of(master, chamber), params, embed_many), "flags")
+    mps = by_house(lambda chamber: ranked(per_mp(of(flags, chamber))), "mps")
+    return flags, mps
 
 
 def run_master(
@@ -99,9 +161,8 @@ def run_master(
 
 
 def load_or_run(spark: SparkSession, folder: str, out: str, params: Params) -> tuple[DataFrame, Result]:
-    """Use the tables of an earlier run when they are complete, else run; with a one-row load summary."""
-    paths = {name: f"{out}/{name}" for name in ("flags", "mps", "anchors")}
-    source, _ = read_or_build(spark, paths, lambda: {"flags": run_extracts(spark, folder, out, params).flags})
-    result = _stored(spark, out)
-    loaded = load_summary(result.flags, source).withColumn("detected_at", F.current_timestamp())
+    """Use the newest run that was published whole, else run; with a one-row load summary."""
+    path = runs.newest(spark, out, TABLES)
+    result = stored(spark, out) if path else run_extracts(spark, folder, out, params)
+    loaded = load_summary(result.flags, "precomputed" if path else "built").withColumn("detected_at", F.current_timestamp())
     return loaded, result

@@ -158,6 +158,3 @@ def master_from_extracts(raw: X.Extracts, params: Params) -> DataFrame:
     consent = None if limits[1] is None else X.consent(limits[1], params)
     return identified(with_limits(works, roster, consent).withColumn("chamber", F.lit(params.chamber)))
 
-
-def both_chambers(lower: DataFrame, upper: DataFrame) -> DataFrame:
-    return lower.unionByName(upper)

@@ -307,6 +307,11 @@ FROM rule LEFT JOIN sig USING (work_id)""",
     "sig",
 )
 
+_RATE = """
+SELECT event_id AS seq, user_id AS key, recent, recent <= 3 AS allowed FROM (
+  SELECT event_id, user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts
+    RANGE BETWEEN INTERVAL '21599.999999' SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)"""
+
 ORACLE = {
     "clean_ids": query(
         """
@@ -588,16 +593,28 @@ FROM flags JOIN route ON route_type = pattern JOIN raw USING (work_id) WHERE is_
   'weight', CASE WHEN is_sanctioned THEN CAST(0.5 AS DOUBLE) END, 'is_sanctioned', is_sanctioned) AS VARCHAR) AS record FROM m""",
         "m",
     ),
-    "rate_window": """
-SELECT event_id AS seq, user_id AS key, recent, recent <= 3 AS allowed FROM (
-  SELECT event_id, user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts
-    RANGE BETWEEN INTERVAL '21599.999999' SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)""",
+    "rate_window": _RATE,
+    "rate_stream": _RATE,
     "stream_window": """
 SELECT user_id AS key, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   COUNT(*) AS requests
 FROM (SELECT user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * back AS s FROM events, range(0, 6) r(back)) GROUP BY user_id, s""",
     "stream_ingest": _JOB,
     "batch_job": _JOB,
+    "load_losses": query(
+        """
+SELECT role, COUNT(*) AS rows, COUNT(*) FILTER (o_orderkey % 50 = 7) AS malformed,
+  COUNT(*) FILTER (o_orderkey % 70 = 3 AND o_orderkey % 50 <> 7) AS unreadable_amounts, COUNT(*) FILTER (o_orderkey % 50 <> 7) AS kept
+FROM (SELECT 'recommended' AS role, o_orderkey FROM ord
+  UNION ALL SELECT 'sanctioned', l_orderkey FROM san JOIN ord ON o_orderkey = l_orderkey
+  UNION ALL SELECT 'completed', l_orderkey FROM com JOIN ord ON o_orderkey = l_orderkey
+  UNION ALL SELECT 'expenditure', l_orderkey FROM lineitem JOIN ord ON o_orderkey = l_orderkey WHERE l_returnflag = 'A') GROUP BY role""",
+        "ord", "san", "com",
+    ),
+    "chambers": _JOB.replace(
+        "SELECT work_id, CAST(recommended_amount",
+        "SELECT CASE WHEN CAST(mp_no AS BIGINT) % 2 = 0 THEN 'ls' ELSE 'rs' END AS chamber, COUNT(*) OVER (PARTITION BY mp_no) AS member_works, work_id, CAST(recommended_amount",
+    ),
     "prebuilt_sources": """
 SELECT vec_id, len(embedding) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 3) AS length
 FROM embeddings""",

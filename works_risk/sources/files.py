@@ -29,11 +29,11 @@ def open_input(path: str):
     return system.open_input_file(name)
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
     """Write a small file from the driver through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, overwrite)
     try:
         out.write(bytearray(data))
     finally:
