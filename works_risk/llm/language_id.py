@@ -14,11 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +33,9 @@ class Params:
     high: int = 4
     bits: int = 16
     alpha: float = 0.5
-    #: Most labelled documents to learn from.
+    #: Most labelled documents to learn from, and most languages.
     max_docs: int = 20_000
+    max_languages: int = 1_000
 
 
 @dataclass
@@ -72,14 +72,21 @@ def bounded_sample(labelled: DataFrame, most: int, seed: int = 7) -> DataFrame:
     return one_row_each(labelled.join(F.broadcast(_first_ids(labelled, most, seed)), "doc_id", "left_semi"), ["doc_id"])
 
 
-def sample_by_language(labelled: DataFrame, most: int, seed: int = 7) -> DataFrame:
-    """At most ``most`` rows, an equal share for each language, so that a rare language is not lost among frequent ones."""
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+def sample_by_language(labelled: DataFrame, most: int, seed: int = 7, most_languages: int = 1_000) -> DataFrame:
+    """At most ``most`` rows, an equal share for each language, so that a rare language is not lost among frequent ones.
+
+    Of more than ``most_languages`` values those with most labelled rows are kept (then by name). The share of a language is
+    the first ids by hash; Spark cuts each partition to the share before anything moves. However many languages there are,
+    the labels are read twice and the texts once.
+    """
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counted.orderBy(F.desc("n"), "lang").limit(min(most, most_languages)).select("lang").collect()
     if not languages:
         return labelled.limit(0)
-    share = max(1, most // len(languages))
-    parts = [_first_ids(labelled.filter(F.col("lang") == k), share, seed).withColumn("lang", F.lit(k)) for k in languages]
-    few = reduce(DataFrame.unionByName, parts)
+    kept = labelled.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isin([r["lang"] for r in languages]))
+    hashed = kept.distinct().withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    few = hashed.withColumn("_place", place).filter(F.col("_place") <= most // len(languages)).select("doc_id", "lang")
     return one_row_each(labelled.join(F.broadcast(few), ["doc_id", "lang"], "left_semi"), ["doc_id", "lang"])
 
 
@@ -109,7 +116,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Learn from the columns doc_id, text and lang. Rows without a language or a text are left out."""
     long_text_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_by_language(rows, params.max_docs).select("text", "lang")
+    sample = sample_by_language(rows, params.max_docs, most_languages=params.max_languages).select("text", "lang")
     counted = sample.mapInArrow(_bucket_counts(params), "lang string, bucket long, n double")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
