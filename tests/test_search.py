@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from works_risk.operators import evaluate, search
+from works_risk.operators import cells, evaluate, search
 
 
 def test_nearest_matches_brute_force(spark):
@@ -29,8 +29,8 @@ def test_nearest_matches_brute_force(spark):
 
 @pytest.mark.parametrize("block", [999, 7])
 def test_nearest_takes_any_number_of_queries(spark, monkeypatch, block):
-    monkeypatch.setattr(search, "QUERY_BLOCK", block)
-    monkeypatch.setattr(search, "ANCHOR_BLOCK", 60)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", block)
+    monkeypatch.setattr(cells, "ANCHOR_BLOCK", 60)
     v = np.random.default_rng(4).normal(size=(150, 5))
     df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "id long, vec array<double>")
     hits = search.nearest(df, df.withColumnRenamed("id", "query"), 1).collect()

@@ -8,70 +8,60 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from works_risk.functions.cleaning import has_text
 from works_risk.functions.vectors import EmbedMany, embedding, hashed_trigrams
+from works_risk.operators import cells
+from works_risk.operators.cells import Cells
 from works_risk.operators.ordering import page, top_rows
+from works_risk.session import scratch
 
-# Vectors of a block that meet in one task.
-QUERY_BLOCK, ANCHOR_BLOCK = 512, 16_384
 
 
-def _leading(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, lower ids first among equals at the edge."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above = np.flatnonzero(scores > edge)
-    level = np.flatnonzero(scores == edge)
-    return np.concatenate([above, level[np.argsort(ids[level])][: k - len(above)]])
-
-
-def nearest(anchors: DataFrame, queries: DataFrame | list[tuple[object, list[float]]], k: int) -> DataFrame:
+def nearest(
+    anchors: DataFrame | Cells, queries: DataFrame | list[tuple[object, list[float]]], k: int
+) -> DataFrame:
     """The ``k`` anchors (``id``, ``vec``) of highest cosine for each query (``query``, ``vec``).
 
-    Queries and anchors are cut into blocks of bounded size by hash; every query block meets every anchor block in one task,
-    which scores them in one product and keeps ``k`` per query, so what is shuffled on is ``k`` rows per query and anchor
-    block. Zero vectors score 0. Ties go to the lower id.
+    ``anchors`` may be written cells (``cells.build``), of which only those are read that can hold a hit. Anchors given as a
+    table are scored directly while all queries fit into one block, and are written in cells first when there are more, so
+    that no anchor is copied to every block of queries. Zero vectors score 0. Ties go to the lower id.
     """
     if isinstance(queries, list):
         if not queries:
             raise ValueError("no query vectors")
         key = "string" if isinstance(queries[0][0], str) else "bigint"
-        queries = anchors.sparkSession.createDataFrame(queries, f"query {key}, vec array<double>")
-    # Both sides may come from one table, so one of them gets a name of its own.
-    asked, held = queries.select("query", F.col("vec").alias("asked_vec")), anchors.select("id", "vec")
-    n_asked, n_held = (max(1, math.ceil(df.count() / most)) for df, most in ((asked, QUERY_BLOCK), (held, ANCHOR_BLOCK)))
+        queries = SparkSession.active().createDataFrame(queries, f"query {key}, vec array<double>")
+    asked = queries.select("query", "vec")
+    if not isinstance(anchors, Cells):
+        if asked.limit(cells.QUERY_BLOCK + 1).count() <= cells.QUERY_BLOCK:
+            return _direct(anchors, asked, k)
+        anchors = cells.build(anchors, scratch(anchors.sparkSession, "cells"))
+    return cells.search(anchors, asked, k).withColumn("score", F.round("score", 4))
 
-    def block(key: str, n: int, name: str, other: int, other_name: str) -> list[Column]:
-        own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
-        return [own, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name)]
 
-    q = asked.select("*", *block("query", n_asked, "qb", n_held, "ab")).groupBy("qb", "ab")
-    a = held.select("*", *block("id", n_held, "ab", n_asked, "qb")).groupBy("qb", "ab")
+def _direct(anchors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """One block of queries meets every part of the anchors in a task."""
+    # Both sides may come from one table, so one of them gets a name of its own.
+    held = anchors.select("id", "vec")
+    parts = max(1, math.ceil(held.count() / cells.ANCHOR_BLOCK))
+    q = asked.select("query", F.col("vec").alias("asked_vec"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("ab")).groupBy("ab")
+    a = held.withColumn("ab", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("ab")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            scores = _unit(left["asked_vec"]) @ _unit(right["vec"]).T
+            scores = cells.unit_rows(left["asked_vec"]) @ cells.unit_rows(right["vec"]).T
             ids = right["id"].to_numpy()
             for query, row in zip(left["query"], scores, strict=True):
-                found += [(query, ids[i], row[i]) for i in _leading(row, ids, k)]
+                found += [(query, ids[i], row[i]) for i in cells.leading(row, ids, k)]
         return pd.DataFrame(found, columns=["query", "id", "score"])
 
     types = dict(asked.dtypes)["query"], dict(held.dtypes)["id"]
     partial = q.cogroup(a).applyInPandas(best, f"query {types[0]}, id {types[1]}, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
-    placed = partial.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    return placed.withColumn("score", F.round("score", 4))
-
-
-def _unit(vecs: pd.Series) -> np.ndarray:
-    matrix = np.stack(vecs.to_numpy()).astype(float)
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+    return cells.top_of(partial, k).withColumn("score", F.round("score", 4))
 
 
 def anchor_table(flags: DataFrame, n: int | None = None, embed_many: EmbedMany = hashed_trigrams) -> DataFrame:
@@ -84,13 +74,17 @@ def anchor_table(flags: DataFrame, n: int | None = None, embed_many: EmbedMany =
 
 
 def similar_works(
-    desc: str, anchors: DataFrame, works: DataFrame, k: int = 5, embed_many: EmbedMany = hashed_trigrams
+    desc: str, anchors: DataFrame | Cells, works: DataFrame, k: int = 5, embed_many: EmbedMany = hashed_trigrams
 ) -> DataFrame:
-    """``work_id, work_desc, score`` of the ``k`` anchors nearest to a description."""
+    """``work_id, work_desc, score`` of the ``k`` anchors nearest to a description.
+
+    ``anchors`` is the table of them (``work_id``, ``vec``), or its cells with the work ids as ``id``.
+    """
     if not 1 <= k <= 50:
         raise ValueError("k must be within 1..50")
     vec = [float(x) for x in np.asarray(embed_many([desc]), dtype=float)[0]]
-    hits = nearest(anchors.select(F.col("work_id").alias("id"), "vec"), [(0, vec)], k)
+    held = anchors if isinstance(anchors, Cells) else anchors.select(F.col("work_id").alias("id"), "vec")
+    hits = nearest(held, [(0, vec)], k)
     texts = works.select(F.col("work_id").alias("id"), "work_desc")
     return hits.join(texts, "id", "left").select(
         F.col("id").alias("work_id"), F.coalesce("work_desc", F.lit("")).alias("work_desc"), "score", "place"

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from works_risk.functions import cleaning as C
 from works_risk.functions.scalars import guarded_ratio, inverted_min_max
 from works_risk.functions.vectors import clipped_cosine, embedding, hashed_bigrams, hashed_trigrams, norm
-from works_risk.operators import aggregate, blocking, classify, dossier, duplicates, evaluate, features, rules, search
+from works_risk.operators import aggregate, blocking, cells, classify, dossier, duplicates, evaluate, features, rules, search
 from works_risk.operators import training_pairs as training
 from works_risk.operators.forest import outliers
 from works_risk.operators.ordering import first_per_key, last_per_key
@@ -20,10 +20,11 @@ from works_risk.operators.quantiles import exact_quantiles
 from works_risk.operators.rate import rolling_counts
 from works_risk.plans import driver_tables as D
 from works_risk.plans.job import run_chambers, run_extracts, run_master, stored
-from works_risk.plans.master import payments, work_ids
+from works_risk.plans.detect import judged, with_outliers, with_signals
+from works_risk.plans.master import master_from_extracts, payments, work_ids
 from works_risk.schema import FEATURE_COLUMNS
 from works_risk.session import scratch, settle, ship
-from works_risk.sources import extracts, sinks, tables
+from works_risk.sources import extracts, pages, sinks, tables
 from works_risk.streaming import limiter, windows
 from works_risk.streaming.recompute import recompute_on_arrival
 
@@ -139,6 +140,35 @@ def master(spark, sf):
     return D.works(spark, sf).drop("work_desc")
 
 
+def stage_master(spark, sf):
+    """The master from raw stage records in which every tenth work was never recommended: such works come from later stages."""
+    raw = D.raw_extracts(spark, sf)
+    raw["recommended"] = raw["recommended"].filter(F.regexp_extract("WORK", r"(\d+)$", 1).cast("bigint") % 10 != 0)
+    built = master_from_extracts(extracts.Extracts(raw), D.PARAMS)
+    return built.select(
+        "work_id", "mp_no", "fy", "work_no", "mp_name", "state", "work_category", "work_status", "recommended_amount", "sanction_amount", "amount_disbursed",
+        "exp_total", "exp_pay_count", "exp_vendors", "is_recommended", "is_sanctioned", "is_completed", "has_expenditure",
+    )
+
+
+def stage_ids(spark, sf):
+    """Ids over the same four stages."""
+    raws = D.raw_extracts(spark, sf)
+    raws["recommended"] = raws["recommended"].filter(F.regexp_extract("WORK", r"(\d+)$", 1).cast("bigint") % 10 != 0)
+    header = {"recommended": "WORK", "sanctioned": "Work", "completed": "Work", "expenditure": "Work ID"}
+    return work_ids([raws[r].select(C.work_id(F.col(h)).alias("work_id")) for r, h in header.items()])
+
+
+def unparseable_flags(spark, sf):
+    """Detection over works of which every 500th has an id that cannot be parsed."""
+    number = F.col("work_no").cast("bigint")
+    odd = F.when(number % 500 == 0, F.concat(F.lit(" na-"), F.col("work_no"))).otherwise(F.col("work_id"))
+    signalled = with_outliers(with_signals(D.works(spark, sf).withColumn("work_id", odd), None), None)
+    return judged(signalled, D.PARAMS).select(
+        "work_id", "flag_unparseable", "reasons", "risk_score", "is_flagged", "fraud_type", "fraud_priority", "fraud_signals"
+    )
+
+
 def feature_frame(spark, sf):
     built = features.build_features(D.works(spark, sf), D.PARAMS.ref_date)
     return rounded(built, 6, "f1_sanction_delta_ratio", "f2_disbursed_ratio").select("work_id", *FEATURE_COLUMNS)
@@ -214,8 +244,7 @@ def mp_delay(spark, sf):
 
 
 def roster_complete(spark, sf):
-    stalled = D.flags(spark, sf).filter("flag_stalled")
-    return aggregate.roster_complete(D.roster(spark, sf), stalled)
+    return aggregate.roster_complete(D.roster(spark, sf), D.flags(spark, sf))
 
 
 def works_page(spark, sf):
@@ -224,6 +253,14 @@ def works_page(spark, sf):
     return rows.drop("is_flagged").withColumn("total", F.lit(total).cast("bigint"))
 
 
+def deep_page(spark, sf):
+    """The last full page of all works by risk, read from the files of a table written in that order."""
+    out = scratch(spark, "pages")
+    flags = D.flags(spark, sf).select("work_id", "mp_name", "state", "fraud_type", "risk_score")
+    written = pages.write(flags, search.risk_order(), out, rows_per_file=5_000)
+    return pages.load(spark, out).page(max(1, written.total // 50), 50, search.risk_order()).withColumn("total", F.lit(written.total))
+
+
 def work_lookup(spark, sf):
     flags = settle(D.flags(spark, sf))
     riskiest = flags.orderBy(*search.risk_order()).first()["work_id"]
@@ -314,6 +351,15 @@ def knn(spark, sf):
     return found.select(F.col("query").alias("label"), "id", "score", "place", F.coalesce("hit_label", F.lit(-1)).alias("hit_label"))
 
 
+def knn_cells(spark, sf):
+    """The five vectors nearest to every hundredth vector, searched in written cells."""
+    rows = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    out = scratch(spark, "cells")
+    cells.build(rows, out)
+    asked = rows.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query")
+    return search.nearest(cells.load(spark, out), asked, 5).select("query", "id", "score", "place")
+
+
 def anchor_topn(spark, sf):
     flags = D.with_text(spark, sf, D.flags(spark, sf).select("work_id", "work_no", "risk_score", "is_flagged"))
     anchors = search.anchor_table(flags, 200)
@@ -646,6 +692,9 @@ CATALOG: dict[str, Query] = {
     "money_dates": money_dates,
     "text_norm": text_norm,
     "id_union": id_union,
+    "stage_ids": stage_ids,
+    "stage_master": stage_master,
+    "unparseable_flags": unparseable_flags,
     "ordered_dedupe": ordered_dedupe,
     "expenditure_agg": expenditure_agg,
     "payment_split": payment_split,
@@ -666,6 +715,7 @@ CATALOG: dict[str, Query] = {
     "mp_delay": mp_delay,
     "roster_complete": roster_complete,
     "works_page": works_page,
+    "deep_page": deep_page,
     "work_lookup": work_lookup,
     "block_pairs": block_pairs,
     "dup_signals": dup_signals,
@@ -677,6 +727,7 @@ CATALOG: dict[str, Query] = {
     "model_counts": model_counts,
     "top_pairs": top_pairs,
     "knn": knn,
+    "knn_cells": knn_cells,
     "anchor_topn": anchor_topn,
     "embed": embed,
     "pair_bands": pair_bands,

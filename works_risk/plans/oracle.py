@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from works_risk.operators.classify import (
-    EXPLAINED,
-    NARRATIVE_DUPLICATE,
-    NARRATIVE_NONE,
-    NARRATIVE_OUTLIER,
-    NARRATIVE_OVERRUN,
-    ROUTES,
-    STALLED_NO_FUNDS,
-    STALLED_ONLY,
-)
+from works_risk.operators.classify import ROUTES
 from works_risk.operators.dossier import BENIGN, CLASSIFICATION, CLOSING, EXPLANATIONS, NO_FLAGS, ROUTE
-from works_risk.operators.rules import reason_texts
 from works_risk.plans.driver_tables import PARAMS
 from works_risk.schema import FEATURE_COLUMNS
 
@@ -25,7 +15,32 @@ def lit(text: str) -> str:
 
 
 _MONEY = "CAST({} AS DECIMAL(18,2))"
-_REASON = reason_texts(PARAMS)
+# Fixed values, written out here so that a wrong text in the engine shows: reasons, narratives and explained signals.
+_REASON = {
+    "flag_unparseable": "unparseable/NA- work id (kept, flagged)",
+    "flag_stalled": "stalled: sanctioned before 1999-01-01, never completed",
+    "flag_incomplete": "sanctioned but never completed",
+    "flag_sanction_overrun": "sanctioned > 120% of recommended amount",
+    "flag_zero_disbursal": "sanctioned but zero amount disbursed",
+    "flag_cost_overrun": "paid out more than sanctioned amount",
+    "has_duplicate_lead": "duplicate-resubmission candidate (cross-FY, same MP+amount, description sim >= 0.8)",
+    "is_anomaly": "anomalous on F1-F4 features (Isolation Forest)",
+}
+NARRATIVE_DUPLICATE = (
+    "Duplicate-claim candidate: a near-identical work description for the same MP and amount appears in a "
+    "different financial year (cross-FY partner)."
+)
+STALLED_NO_FUNDS, STALLED_ONLY = "zero amount disbursed", "no recorded completion"
+NARRATIVE_OVERRUN = "Amount paid or sanctioned exceeds the recommended/sanctioned baseline (cost or sanction overrun)."
+NARRATIVE_OUTLIER = "Statistical outlier on the engineered features (F1-F4) - unusual compared with other works."
+NARRATIVE_NONE = "No detection signal."
+EXPLAINED = {
+    "duplicate_claim": ["duplicate_resubmission"],
+    "siphoned_funds": ["stalled_no_funds", "stalled"],
+    "ghost_work": ["stalled_no_funds", "stalled"],
+    "over_invoicing": ["cost_overrun", "sanction_overrun"],
+    "statistical_anomaly": ["anomaly"],
+}
 _NULL_REASON = {k: f"CASE WHEN {k} THEN {lit(v)} END" for k, v in _REASON.items()}
 _RULE_REASONS = "CONCAT_WS('; ', " + ", ".join(v for k, v in _NULL_REASON.items() if k.startswith("flag_")) + ")"
 _REASONS = "CONCAT_WS('; ', " + ", ".join(_NULL_REASON.values()) + ")"
@@ -334,6 +349,41 @@ SELECT doc_id, md5(t) AS text_hash, length(t) AS chars, length(trim(text)) > 0 A
   source || '_' || lang || '__' || doc_id AS file_name, CASE WHEN lang = 'en' THEN CAST(n_chars AS DOUBLE) ELSE 0 END AS number
 FROM (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)""",
     "id_union": query("SELECT work_id FROM ord", "ord"),
+    "stage_ids": query(
+        """
+SELECT work_id FROM ord WHERE o_orderkey % 10 <> 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem
+  WHERE l_linestatus = 'F' OR l_returnflag IN ('R', 'A'))""",
+        "ord",
+    ),
+    "stage_master": query(
+        """
+SELECT work_id, mp_no, fy, work_no,
+  CASE WHEN rec OR is_sanctioned OR is_completed THEN mp_name ELSE '' END AS mp_name,
+  CASE WHEN rec OR is_sanctioned OR is_completed THEN state ELSE '' END AS state, CASE WHEN rec THEN work_category ELSE '' END AS work_category,
+  work_status, CASE WHEN rec THEN CAST(recommended_amount AS DOUBLE) ELSE 0 END AS recommended_amount, CAST(sanction_amount AS DOUBLE) AS sanction_amount,
+  CAST(amount_disbursed AS DOUBLE) AS amount_disbursed, CAST(exp_total AS DOUBLE) AS exp_total, exp_pay_count, exp_vendors, rec AS is_recommended,
+  is_sanctioned, is_completed, has_expenditure
+FROM (SELECT *, CAST(work_no AS BIGINT) % 10 <> 0 AS rec FROM m) WHERE rec OR is_sanctioned OR is_completed OR has_expenditure""",
+        "m",
+    ),
+    "unparseable_flags": query(
+        """
+SELECT CASE WHEN na THEN ' na-' || work_no ELSE work_id END AS work_id, na AS flag_unparseable, reasons,
+  CAST(LEAST(CASE WHEN flag_stalled THEN 35 ELSE 0 END + CASE WHEN na THEN 10 ELSE 0 END + CASE WHEN flag_sanction_overrun THEN 15 ELSE 0 END
+    + CASE WHEN flag_zero_disbursal THEN 20 ELSE 0 END, 100) AS BIGINT) AS risk_score, reasons <> '' AS is_flagged,
+  CASE WHEN reasons = '' THEN '' ELSE pattern END AS fraud_type,
+  CAST(CASE WHEN reasons = '' THEN 0 WHEN pattern = 'siphoned_funds' THEN 2 WHEN pattern = 'ghost_work' THEN 3 WHEN pattern = 'over_invoicing' THEN 4 ELSE 5 END AS BIGINT) AS fraud_priority,
+  CASE WHEN reasons = '' THEN '[]' ELSE CONCAT_WS(',', CASE WHEN flag_stalled AND flag_zero_disbursal THEN 'stalled_no_funds' WHEN flag_stalled THEN 'stalled' END,
+    CASE WHEN flag_zero_disbursal THEN 'zero_disbursal' END, CASE WHEN flag_cost_overrun THEN 'cost_overrun' END,
+    CASE WHEN flag_sanction_overrun THEN 'sanction_overrun' END) END AS fraud_signals
+FROM (SELECT *, CASE WHEN flag_stalled AND flag_zero_disbursal THEN 'siphoned_funds' WHEN flag_stalled THEN 'ghost_work'
+    WHEN flag_cost_overrun OR flag_sanction_overrun THEN 'over_invoicing' ELSE 'statistical_anomaly' END AS pattern,
+    """
+        + _RULE_REASONS.replace("WHEN flag_unparseable", "WHEN na")
+        + """ AS reasons
+  FROM (SELECT *, CAST(work_no AS BIGINT) % 500 = 0 AS na FROM rule))""",
+        "rule",
+    ),
     "ordered_dedupe": """
 SELECT user_id, MIN(event_id) AS first_id, arg_min(event_type, event_id) AS first_type, arg_min(value, event_id) AS first_value,
   MAX(event_id) AS last_id, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) AS last_value
@@ -423,7 +473,7 @@ FROM flags GROUP BY mp_no, mp_name, mp_state""",
     "roster_complete": query(
         """SELECT c_name AS mp_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS alloc_limit, COALESCE(works, 0) AS works,
   COALESCE(flagged, 0) AS flagged FROM customer LEFT JOIN (SELECT mp_name, COUNT(*) AS works, COUNT(*) FILTER (WHERE is_flagged) AS flagged
-  FROM flags WHERE flag_stalled GROUP BY mp_name) ON mp_name = c_name""",
+  FROM flags GROUP BY mp_name) ON mp_name = c_name""",
         "flags",
     ),
     "works_page": query(
@@ -432,6 +482,11 @@ WHERE is_flagged AND risk_score >= 20 AND contains(lower(mp_name), 'customer#000
 ORDER BY risk_score DESC, work_id LIMIT 50 OFFSET 50""",
         "flags",
     ),
+    "deep_page": query(
+        """SELECT work_id, mp_name, state, fraud_type, risk_score, (SELECT COUNT(*) FROM flags) AS total FROM flags
+ORDER BY risk_score DESC, work_id LIMIT 50 OFFSET (SELECT (GREATEST(COUNT(*) // 50, 1) - 1) * 50 FROM flags)""",
+        "flags",
+    ),
     "work_lookup": query(
         "SELECT work_id, risk_score, dossier_md AS evidence FROM doss ORDER BY risk_score DESC, work_id LIMIT 1", "doss"
     ),
@@ -486,6 +541,14 @@ SELECT label, id, round(s, 4) AS score, place, hit_label FROM (
     GROUP BY label) c ON TRUE) WHERE place <= 5""",
         "vec",
     ),
+    "knn_cells": query(
+        """
+SELECT query, id, round(s, 4) AS score, place FROM (
+  SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS s,
+    ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS place
+  FROM vec a JOIN vec b ON a.vec_id % 100 = 0) WHERE place <= 5""",
+        "vec",
+    ),
     "anchor_topn": query(
         """SELECT work_id, COALESCE(filled, 0) AS slots, round(COALESCE(total / size, 0), 3) AS weight FROM (
   SELECT work_id, d.doc_id FROM flags JOIN documents d ON d.doc_id = CAST(work_no AS BIGINT) % (SELECT COUNT(*) FROM documents)
