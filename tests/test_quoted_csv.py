@@ -156,3 +156,50 @@ def test_both_houses_in_one_run(spark, tmp_path):
     job.run_chambers(spark, {"rs": folders["rs"]}, out, PARAMS, hashed_trigrams)
     counts = {r["chamber"]: r["count"] for r in spark.read.parquet(f"{out}/flags").groupBy("chamber").count().collect()}
     assert counts == {"ls": 6, "rs": 7}
+
+
+def test_a_delivery_recomputes_the_blocks_it_touches(spark, tmp_path, monkeypatch):
+    from works_risk.functions import vectors
+
+    def works(n, changed=()):
+        lines = ["WORK,Work category,Work description,State,Hon'ble Members of Parliament,Constituency,Recommended date,RECOMMENDED AMOUNT   ( ₹ )"]
+        for k in range(n):
+            text = "Something else entirely, a bridge" if k in changed else f"Construction of hall number {k % 7 // 2}"
+            lines.append(f"WS/MP{k % 5}/20{20 + k % 3}-20{21 + k % 3}/{k}-W,c,\"{text}\",Goa,M{k % 5},S,01-Jan-2024,{1000 * (k % 4)}")
+        return "\n".join(lines) + "\n"
+
+    embedded = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        embedded.add(len(texts))
+        return vectors.hashed_trigrams(texts)
+
+    folder = tmp_path / "in"
+    (folder / "delivery=1").mkdir(parents=True)
+    (folder / "delivery=1" / extracts.FILES["recommended"]).write_text(works(120))
+    out = str(tmp_path / "out")
+    first = job.run_extracts(spark, str(folder), out, PARAMS, counting)
+    assert first.table("compared").count() == 120
+    # One text changed, ten works more of two blocks, one work gone.
+    (folder / "delivery=2").mkdir()
+    rows = works(130, changed=(42,)).split("\n")
+    (folder / "delivery=2" / extracts.FILES["recommended"]).write_text("\n".join(r for r in rows if "/17-W" not in r))
+    whole = embedded.value
+    second = job.run_extracts(spark, str(folder), out, PARAMS, counting, since=first.path)
+    step = embedded.value - whole
+    full = job.run_extracts(spark, str(folder), str(tmp_path / "full"), PARAMS, counting)
+    assert embedded.value - whole - step > 1.3 * step > 0
+    touched = {(k % 5, k % 4) for k in (42, 17, *range(120, 130))}
+    compared = {r["work_id"] for r in second.table("compared").collect()}
+    assert {int(w.rsplit("/", 1)[1]) for w in compared} == {k for k in range(130) if (k % 5, k % 4) in touched and k != 17}
+    assert len(compared) < 129
+    for name in ("flags", "mps"):
+        a, b = getattr(second, name), getattr(full, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    # Nothing changed, and other settings.
+    third = job.run_extracts(spark, str(folder), out, PARAMS, counting, since=second.path)
+    assert third.table("compared").count() == 0 and sorted(map(str, third.flags.collect())) == sorted(map(str, full.flags.collect()))
+    import dataclasses
+
+    other = job.run_extracts(spark, str(folder), out, dataclasses.replace(PARAMS, amount_grain=5000), counting, since=second.path)
+    assert other.table("compared").count() == 129

@@ -16,6 +16,7 @@ from works_risk.operators.ordering import top_rows
 from works_risk.params import MIN_TEXT_CHARS, Params
 from works_risk.session import settle, spread
 
+_SIGNALS = ["dup_partner_count", "dup_partner_sim_max", "dup_partner_cross_fy"]
 _EDGE = ["block", "item_a", "item_b", "similarity"]
 
 
@@ -148,6 +149,46 @@ def duplicate_signals(master: DataFrame, params: Params, embed_many: EmbedMany =
     return zero_filled(master, folded_signals(members, links), params)
 
 
+def _claim_states(master: DataFrame, params: Params) -> DataFrame:
+    """``work_id, block, state`` of each work: all that its signals and those of its block depend on."""
+    extra = [F.col("work_category")] if params.block_on_category else []
+    text = F.when(has_text(F.col("work_desc")), F.trim("work_desc"))
+    return master.select(
+        "work_id", block_key(params.amount_grain, *extra).alias("block"), F.xxhash64(F.coalesce("fy", F.lit("")), text, text.isNull()).alias("state")
+    )
+
+
+def in_touched_blocks(master: DataFrame, earlier: DataFrame, params: Params) -> DataFrame:
+    """The works of ``master`` in whose block a work came, went or changed its block, year or text since ``earlier``."""
+    new, old = _claim_states(master, params), _claim_states(earlier, params)
+    both = new.join(old.toDF("_id", "_block", "_state"), F.col("work_id") == F.col("_id"), "full")
+    same = F.col("block").eqNullSafe(F.col("_block")) & F.col("state").eqNullSafe(F.col("_state")) & F.col("_id").isNotNull() & F.col("work_id").isNotNull()
+    touched = both.filter(~same).select(F.explode(F.array("block", "_block")).alias("block")).filter(F.col("block").isNotNull()).distinct()
+    sizes = new.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    marked = settle(sizes.join(touched.withColumn("touched", F.lit(True)), "block", "left"))
+    keyed = master.join(new.select("work_id", "block"), "work_id")
+    found = attach(keyed, marked, "block", F.xxhash64("work_id"))
+    return found.filter("touched").drop("block", "touched")
+
+
+def updated_signals(
+    master: DataFrame, earlier: DataFrame, earlier_signals: DataFrame, params: Params, embed_many: EmbedMany = hashed_trigrams
+) -> tuple[DataFrame, DataFrame]:
+    """Signals of ``master`` given those of an earlier master, and the works whose blocks were compared again.
+
+    Blocks in which nothing changed keep their signals; no text of theirs is embedded. The result equals ``duplicate_signals``.
+    """
+    if params.max_texts is not None:
+        raise ValueError("a bound on texts depends on all works, so nothing can be kept")
+    again = settle(in_touched_blocks(master, earlier, params))
+    members = claims(again, params)
+    links = edges(embedded(folded(members), embed_many), params.duplicate_cosine)
+    ids = again.select("work_id")
+    kept = earlier_signals.join(ids, "work_id", "left_anti").select("work_id", *_SIGNALS)
+    found = kept.unionByName(folded_signals(members, links).select("work_id", *_SIGNALS))
+    return zero_filled(master, found, params), ids
+
+
 def with_copies(members: DataFrame, links: DataFrame) -> DataFrame:
     """Write links between folded points, in both directions, out as pairs of works, ``work_a < work_b``.
 

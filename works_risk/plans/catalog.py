@@ -240,7 +240,8 @@ def mp_points(spark, sf):
 
 
 def mp_delay(spark, sf):
-    return rounded(aggregate.delays_per_mp(D.flags(spark, sf)), 4, "avg_days_to_sanction", "avg_days_to_complete")
+    flagged = rules.rule_flags(D.works(spark, sf), D.PARAMS)  # neither delays nor overruns need duplicates or outliers
+    return rounded(aggregate.delays_per_mp(flagged), 4, "avg_days_to_sanction", "avg_days_to_complete")
 
 
 def roster_complete(spark, sf):

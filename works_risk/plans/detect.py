@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from works_risk.functions.vectors import EmbedMany, counting_failures
 from works_risk.operators.classify import add_pattern, add_route
-from works_risk.operators.duplicates import duplicate_signals, no_signals
+from works_risk.operators.duplicates import duplicate_signals, no_signals, updated_signals
 from works_risk.operators.features import build_features
 from works_risk.operators.forest import outliers
 from works_risk.operators.rules import add_reasons, add_risk, rule_flags
@@ -41,15 +43,35 @@ def detect(
     return judged(with_outliers(with_signals(master, dup_signals), scores), params)
 
 
-def detect_live(master: DataFrame, params: Params, embed_many: EmbedMany | None) -> DataFrame:
-    """As ``detect`` with duplicate signals computed here; without an embedder there are none.
+@dataclass(frozen=True)
+class Earlier:
+    """What an earlier run leaves to go on from: its master and its signals."""
+
+    master: DataFrame
+    signals: DataFrame
+
 
-    ``dup_source`` records which of the two it was: ``none`` or ``live``, and ``partial`` where the embedder failed on some
-    texts, which then match nothing. Embedding runs here, so the count of failures is known.
+def live_signals(
+    master: DataFrame, params: Params, embed_many: EmbedMany | None, earlier: Earlier | None = None
+) -> tuple[DataFrame | None, str, DataFrame | None]:
+    """Duplicate signals computed here, where they come from, and with ``earlier`` the works that were compared again.
+
+    The source is ``none`` without an embedder, ``live``, or ``partial`` where the embedder failed on some texts, which then
+    match nothing. Embedding runs here, so the count of failures is known.
     """
     if embed_many is None:
-        return detect(master, params).withColumn("dup_source", F.lit("none"))
+        return None, "none", None
     failed = master.sparkSession.sparkContext.accumulator(0)
-    signals = duplicate_signals(master, params, counting_failures(embed_many, failed))
-    source = "partial" if failed.value else "live"
+    counted = counting_failures(embed_many, failed)
+    again = None
+    if earlier is None:
+        signals = duplicate_signals(master, params, counted)
+    else:
+        signals, again = updated_signals(master, earlier.master, earlier.signals, params, counted)
+    return signals, "partial" if failed.value else "live", again
+
+
+def detect_live(master: DataFrame, params: Params, embed_many: EmbedMany | None) -> DataFrame:
+    """As ``detect`` with duplicate signals computed here; ``dup_source`` records where they come from."""
+    signals, source, _ = live_signals(master, params, embed_many)
     return detect(master, params, signals).withColumn("dup_source", F.lit(source))

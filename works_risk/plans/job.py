@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from works_risk.operators.dossier import build_dossiers
 from works_risk.operators.duplicates import Sweep, signals_from_links, signals_from_sweep
 from works_risk.operators.search import anchor_table
 from works_risk.params import Params
-from works_risk.plans.detect import detect, detect_live
+from works_risk.plans.detect import Earlier, detect, detect_live, live_signals
 from works_risk.plans.master import master_from_extracts
 from works_risk.session import scratch
 from works_risk.sources import runs, sinks
@@ -89,11 +90,14 @@ def run_extracts(
     multi_line: bool = False,
     tolerant: bool = False,
     dossier_files: bool = False,
+    since: str | None = None,
 ) -> Result:
     """Extracts to written flags, roll-up, anchors and dossiers.
 
     ``dossier_limit`` and ``anchors`` keep only the riskiest works; by default every flagged work gets both. ``multi_line``
-    and ``tolerant`` are those of ``read_csv``; ``dossier_files`` also writes a file per dossier, for a limited number of them.
+    and ``tolerant`` are those of ``read_csv``. ``since`` names the folder of an earlier run: blocks of works in which nothing
+    changed since then keep their duplicate signals, and the works compared again are in the table ``compared``.
+    A run of other settings, or whose signals are not whole, is not gone on from. ``dossier_files`` also writes a file per dossier, for a limited number of them.
     """
     run = runs.begin(out)
     raw = read_extracts(spark, folder, params.chamber, multi_line, tolerant, f"{run}/raw")
@@ -101,14 +105,46 @@ def run_extracts(
     losses(raw).write.mode("overwrite").parquet(f"{run}/losses")
     master = spark.read.parquet(f"{run}/master")
 
+    earlier = _earlier(spark, since, params, embed_many)
+    signals, source, again = live_signals(master, params, embed_many, earlier)
+    compared = master if again is None else again
+    compared.select("work_id").write.mode("overwrite").parquet(f"{run}/compared")
+    if signals is not None:
+        basis = F.lit(_basis(params, embed_many) if source == "live" else source).alias("basis")
+        signals.select("*", basis).write.mode("overwrite").parquet(f"{run}/signals")
+        signals = spark.read.parquet(f"{run}/signals").drop("basis")
+    judged = detect(master, params, signals).withColumn("dup_source", F.lit(source))
+
     def further(flags: DataFrame, path: str) -> list[str]:
         built = build_dossiers(flags, raw_tables(raw), ORDINAL, dossier_limit)
         sinks.write_dossiers(built, f"{path}/dossiers")
         if dossier_files:
             sinks.write_dossier_files(spark.read.parquet(f"{path}/dossiers"), f"{path}/files")
-        return ["master", "losses", "dossiers"]
-
-    return publish(detect_live(master, params, embed_many), out, embed_many or hashed_trigrams, anchors, run, further)
+        return ["master", "losses", "compared", "dossiers"]
+
+    return publish(judged, out, embed_many or hashed_trigrams, anchors, run, further)
+
+
+def _basis(params: Params, embed_many: EmbedMany | None) -> str:
+    """What signals depend on besides the works."""
+    name = getattr(embed_many, "__qualname__", repr(embed_many))
+    used = (params.amount_grain, params.block_on_category, params.duplicate_cosine, params.cross_year_only, params.max_texts)
+    return f"{name} {used}"
+
+
+def _earlier(spark: SparkSession, since: str | None, params: Params, embed_many: EmbedMany | None) -> Earlier | None:
+    if since is None or embed_many is None or params.max_texts is not None:
+        return None
+    try:
+        signals = spark.read.parquet(f"{since}/signals")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    first = signals.first()
+    if first is None or first["basis"] != _basis(params, embed_many):
+        return None
+    return Earlier(spark.read.parquet(f"{since}/master"), signals.drop("basis"))
 
 
 def run_chambers(
