@@ -258,7 +258,7 @@ class LexiconEncoder(PieceEncoder):
     """Encodes through a lexicon, and through the merge table where a word is not in it."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon, pattern: str):
-        super().__init__()
+        super().__init__(most_known=0)  # the words of every slice go through the automaton
         import regex
 
         self.bpe, self.lexicon = bpe, lexicon
