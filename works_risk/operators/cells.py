@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from works_risk.session import small_batches
+
 # Vectors of a cell, and queries to it, that meet in one task.
-QUERY_BLOCK, ANCHOR_BLOCK = 512, 16_384
+QUERY_BLOCK, ANCHOR_BLOCK = 512, 4_096
 MOST_CELLS = 1024
 #: Cell of the zero vectors: every score with one of them is 0.
 ZEROS = -1
@@ -82,6 +84,7 @@ class Cells:
 def build(anchors: DataFrame, path: str) -> Cells:
     """Write ``anchors`` (``id``, ``vec``) in cells under ``path``."""
     spark = anchors.sparkSession
+    small_batches(spark)
     rows = anchors.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     some = F.exists("vec", lambda x: x != 0)
     wanted = min(MOST_CELLS, max(1, math.isqrt(rows.count())))
